@@ -6,17 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import packing
+from mossgrove.llm import mixing, packing, simhash
 from mossgrove.llm.common import prepare, read
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole `documents`: fingerprint and component of near-duplicates."""
+    return simhash.near_duplicates(read(prepare(spark), sf_dir, "documents"))
+
+
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` mixed to the sources' target weights."""
+    return mixing.mix(read(prepare(spark), sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole `documents`, packed into sequences of at most 1024 tokens."""
     return packing.pack(read(prepare(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op9_mixing_sources": op9_mixing_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing_sources": mixing.ORACLE,
+}
