@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import mixing, packing, simhash
+from mossgrove.llm import mixing, packing, rules, simhash
 from mossgrove.llm.common import prepare, read
 
 
@@ -15,6 +15,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(prepare(spark), sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, score and verdict of every whole text of `documents`."""
+    return rules.judge(read(prepare(spark), sf_dir, "documents"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` mixed to the sources' target weights."""
     return mixing.mix(read(prepare(spark), sf_dir, "documents"))
@@ -27,6 +32,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
