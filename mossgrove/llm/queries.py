@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import mixing, packing, rules, simhash
+from mossgrove.llm import linktrust, mixing, packing, pii, rules, secrets, simhash
 from mossgrove.llm.common import prepare, read
 
 
@@ -20,6 +20,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(prepare(spark), sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of `documents`."""
+    return secrets.find(read(prepare(spark), sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of `documents`."""
+    return pii.find(read(prepare(spark), sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url of `pages`."""
+    return linktrust.judge(read(prepare(spark), sf_dir, "pages"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` mixed to the sources' target weights."""
     return mixing.mix(read(prepare(spark), sf_dir, "documents"))
@@ -33,10 +48,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_pii": op7_pii,
+    "op8_url_filters": op8_url_filters,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": linktrust.ORACLE,
     "op9_mixing_sources": mixing.ORACLE,
 }
