@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import linktrust, mixing, packing, pii, rules, secrets, simhash
+from mossgrove.llm import linktrust, mixing, packing, pii, quality, rules, secrets, simhash, toxicity
 from mossgrove.llm.common import prepare, read
 
 
@@ -15,6 +15,16 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(prepare(spark), sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of `documents`, learned from `labels.quality`."""
+    return quality.classify(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of `documents`, learned from `labels.toxic`."""
+    return toxicity.classify(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, score and verdict of every whole text of `documents`."""
     return rules.judge(read(prepare(spark), sf_dir, "documents"))
@@ -47,6 +57,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scans": op6_secret_scans,
     "op7_pii": op7_pii,
