@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import linktrust, mixing, packing, pii, quality, rules, secrets, simhash, toxicity
+from mossgrove.llm import linktrust, mixing, neighbours, packing, pii, quality, rules, secrets, simhash, toxicity
 from mossgrove.llm.common import prepare, read
 
 
@@ -15,6 +15,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(prepare(spark), sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every 50th row of `embeddings` among all others."""
+    return neighbours.nearest(read(prepare(spark), sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of `documents`, learned from `labels.quality`."""
     return quality.classify(read(prepare(spark), sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -57,6 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
