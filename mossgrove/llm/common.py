@@ -100,5 +100,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Ids up to so many (8 bytes each) are sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def counted(small: DataFrame) -> DataFrame:
+    """``small``, written once, and marked for broadcast if its counted rows are few enough."""
+    kept = store(small, "ids")
+    return F.broadcast(kept) if kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else kept
+
+
+def with_text(docs: DataFrame, column: str, change: Callable[[], Callable[[pa.Array], tuple[pa.Array, pa.Array | None]]]) -> DataFrame:
+    """``docs`` with all its columns, ``column`` changed and rows filtered by what ``change()`` gives for a batch."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = change()
+        for batch in batches:
+            k = batch.schema.get_field_index(column)
+            values, rows = work(batch.column(k))
+            batch = batch.set_column(k, batch.schema.field(k), values)
+            yield batch if rows is None else batch.filter(rows)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

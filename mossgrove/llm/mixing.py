@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import WORD, store
+from mossgrove.llm.common import WORD, counted, store
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 BUCKETS = 4096
+SALTS = 1
 SYMBOLS = "#*$%&|<>"
 
 
@@ -30,11 +31,23 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), 1 - 4 * (n - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(n, F.lit(1)))
 
 
+def _size(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+
+
+def _key(doc_id: Column, text: Column) -> Column:
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12)
+    return -F.log((F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)) / quality_weight(text)
+
+
+def _bucket(key: Column) -> Column:
+    return F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * key / (1 + key))).cast("int")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and the exponential key, which is the order of sampling."""
     text = F.coalesce("text", F.lit(""))
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), (-F.log(u) / quality_weight(text)).alias("key"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", _size(text).alias("size"), _key(F.col("doc_id"), text).alias("key"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -55,6 +68,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return t.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """A row a source: of, source_size, target, epochs, budget, and the bucket in which the budget ends with the words before it."""
+    sums = rows.groupBy("source", _bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("words"))
+    sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
+    sources = sources.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
+    ends = upto.join(sources, upto["source"].eqNullSafe(sources["source"])).where(F.col("upto") > F.col("budget"))
+    ends = ends.groupBy(upto["source"]).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
+    return store(sources.join(ends, sources["source"].eqNullSafe(ends["source"]), "left").select(sources["source"].alias("of"), "source_size", "target", "epochs", "budget", "end.bucket", "end.before"), "plan")
+
+
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, key) with their source's plan. Each source is split into SALTS by its rows' buckets."""
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = _bucket(F.col("key"))
+    return rows.join(salted, rows["source"].eqNullSafe(salted["of"]) & (own % SALTS == salted["salt"]), "left").withColumn("own", own).drop("salt")
+
+
+def _last(at: DataFrame) -> DataFrame:
+    """The rows of the buckets in which budgets end, with ``more``: 1 if they are within the budget, else 0."""
+    in_order = Window.partitionBy("of").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return at.where(F.col("own") == F.col("bucket")).withColumn("more", (2 * (F.sum("size").over(in_order) + F.col("before")) - F.col("size") <= 2 * F.col("budget")).cast("int"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, copies.
 
@@ -63,24 +101,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     rows with a null or repeated id share a key, and ties go by id and size. An empty table gives no rows.
     """
     rows = store(sized(docs), "sized")
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * F.col("key") / (1 + F.col("key")))).cast("int")
-    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    sources = sources.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return a["source"].eqNullSafe(b["source"])
-
-    upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
-    ends = upto.join(sources, same(upto, sources)).where(F.col("upto") > F.col("budget")).groupBy(upto["source"]).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
-    plan = sources.join(ends, same(sources, ends), "left").select(sources["source"].alias("of"), "source_size", "target", "epochs", "budget", "end.bucket", "end.before")
-    at = rows.join(plan, rows["source"].eqNullSafe(plan["of"]), "left").withColumn("own", bucket)
-    in_order = Window.partitionBy("of").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = at.where(F.col("own") == F.col("bucket")).withColumn("more", (2 * (F.sum("size").over(in_order) + F.col("before")) - F.col("size") <= 2 * F.col("budget")).cast("int"))
+    at = _planned(rows, _plan(rows, weights, most))
     rest = at.where(~F.coalesce(F.col("own") == F.col("bucket"), F.lit(False))).withColumn("more", F.coalesce((F.col("own") < F.col("bucket")).cast("int"), F.lit(0)))
     copies = (F.col("epochs") + F.col("more")).cast("bigint")
-    return last.unionByName(rest).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return _last(at).unionByName(rest).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """``docs`` with each row as often as mix() takes it, and no other column.
+
+    Rows find their plan by source and key, so texts aren't shuffled; only for the ids in the buckets in which
+    budgets end is mix()'s decision looked up. Of rows alike in id, key and size there, all or none are taken.
+    """
+    rows = store(sized(docs), "sized")
+    plan = _plan(rows, weights, most)
+    last = _last(_planned(rows, plan)).groupBy(F.col("of").alias("_of"), F.col("doc_id").alias("_id"), F.col("key").alias("_at"), F.col("size").alias("_n")).agg(F.min("more").alias("_last"))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.withColumns({"_key": _key(F.col("doc_id"), text), "_size": _size(text)})
+    sources = counted(plan.select(F.col("of").alias("_source"), F.col("epochs").alias("_epochs"), F.col("bucket").alias("_bucket")))
+    own = own.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left")
+    own = own.join(counted(last), F.col("source").eqNullSafe(F.col("_of")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_at")) & (F.col("_size") == F.col("_n")), "left")
+    copies = F.col("_epochs") + F.coalesce("_last", (_bucket(F.col("_key")) < F.col("_bucket")).cast("int"), F.lit(0))
+    return own.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint")))).select(*docs.columns)
 
 
 ORACLE = r"""

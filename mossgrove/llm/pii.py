@@ -12,10 +12,11 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import map_batches, texts_of
+from mossgrove.llm.common import map_batches, texts_of, with_text
 from mossgrove.llm.spans import Span, digest, free, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -190,11 +191,7 @@ def masked(text: str) -> str:
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced. Null texts stay null; other columns stay as they are."""
 
-    def make():
-        def work(batch):
-            values = batch[text].to_pylist()
-            return batch | {text: [x if x is None else masked(x) for x in values]}
-
-        return work
+    def change():
+        return lambda column: (pa.array([x if x is None else masked(x) for x in column.to_pylist()], column.type), None)
 
-    return map_batches(docs, make, docs.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
+    return with_text(docs, text, change)

@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of whole texts are computed once and kept. Trees are grown on the driver from a bounded sample of
+Statistics are of whole texts. Trees are grown on the driver from a bounded sample of
 labelled rows, on histograms of gradients over quantile bins, all nodes of a level at a time. Trees of one
 depth are flattened into arrays (a feature and a threshold for each inner node, a value for each leaf), so
 scoring is a few numpy gathers for a batch of documents and a level.
@@ -9,10 +9,11 @@ scoring is a few numpy gathers for a batch of documents and a level.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import held_out, map_batches, store, texts_of
+from mossgrove.llm.common import held_out, map_batches, texts_of, with_text
 from mossgrove.llm.labels import sample
 
 #: At most so many labelled rows are learned from.
@@ -52,18 +53,6 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the array of FEATURES of each row."""
-
-    def make():
-        def work(batch):
-            return {"doc_id": batch["doc_id"], "x": [statistics(t) for t in texts_of(batch["text"])]}
-
-        return work
-
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), make, "doc_id bigint, x array<double>")
-
-
 class Trees:
     """Boosted trees of one depth as arrays: feature and cut by tree and inner node, value by tree and leaf."""
 
@@ -120,32 +109,47 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Trees:
+    """Trees from at most ``most`` rows of ``labels`` (doc_id and ``column``) that aren't held out."""
+    ids = F.broadcast(sample(labels, column, most))  # bounded by `most`
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"))
+
+    def make():
+        return lambda batch: {"doc_id": batch["doc_id"], "label": batch["label"], "x": [statistics(t) for t in texts_of(batch["text"])]}
+
+    learned = map_batches(rows.select("doc_id", "label", "text"), make, "doc_id bigint, label int, x array<double>")
+    learned = sorted((r["doc_id"], r["label"], r["x"]) for r in learned.limit(2 * most).collect())
+    return fit(np.array([r[2] for r in learned], "f8").reshape(-1, len(FEATURES)), np.array([r[1] for r in learned], "f8"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text).
 
-    Trees learn from at most ``most`` rows of ``labels`` (doc_id and ``column``) that aren't held out, and score every
-    row. The statistics are of the whole text and of nothing else. Null and empty texts are scored by their zeros.
+    The statistics are of the whole text and of nothing else. Null and empty texts are scored by their zeros.
     Without a labelled row to learn from every score is 1 (nothing speaks against a document). A null id is never
-    held out; repeated rows are scored alike; an empty table gives no rows.
+    held out; repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
-    rows = store(measured(docs), "statistics")
-    learned = rows.join(F.broadcast(sample(labels, column, most)), F.col("doc_id") == F.col("id")).orderBy("doc_id", "label").limit(2 * most).select("x", "label").toPandas()
-    x = np.array(learned["x"].tolist(), "f8").reshape(-1, len(FEATURES))
-    model = fit(x, learned["label"].to_numpy("f8"))
+    model = learn(docs, labels, column, most)
 
     def make():
         def work(batch):
-            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            score = model.score(x)
+            score = model.score(np.array([statistics(t) for t in texts_of(batch["text"])]).reshape(-1, len(FEATURES)))
             return {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype("i4")}
 
         return work
 
-    return map_batches(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x"), make, "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out")), make, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts to be good, with all their columns."""
-    model_rows = classify(docs, labels, threshold=threshold)
-    bad = model_rows.where("predicted = 0").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("bad"), "left_anti")
+    """The rows of ``docs`` that the classifier predicts to be good, with all their columns; nothing is shuffled."""
+    model = learn(docs, labels)
+
+    def change():
+        def work(column):
+            x = np.array([statistics(t) for t in texts_of(column)]).reshape(-1, len(FEATURES))
+            return column, pa.array(model.score(x) >= threshold)
+
+        return work
+
+    return with_text(docs, "text", change)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import drop, map_batches, prepare, store
+from mossgrove.llm.common import counted, drop, map_batches, prepare, store
 
 SEED = 42
 SHINGLE = 4
@@ -197,12 +197,12 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     Of rows that share such an id one stays: the least by a hash of all columns. Rows with a null id can't be
     named by one and stay.
     """
-    found = near_duplicates(docs, radius, shingle)
-    keep = store(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept")).count(), "kept")
-    same = F.col("doc_id").cast("bigint") == F.col("kept")
-    stay = docs.join(keep.where("count = 1"), same, "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if keep.where("count > 1").take(1):
-        again = docs.join(keep.where("count > 1"), same, "left_semi")
-        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    found = near_duplicates(docs, radius, shingle).where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
+    leave = counted(ids.where("NOT first OR rows > 1").select(F.col("doc_id").alias("leaves"), (F.col("first") & (F.col("rows") > 1)).alias("again")))
+    same = F.col("doc_id").cast("bigint") == F.col("leaves")
+    stay = docs.join(leave, same, "left_anti")
+    if leave.where("again").take(1):
+        one = docs.join(leave.where("again"), same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
         stay = stay.unionByName(one.select("row.*"))
     return stay
