@@ -1,0 +1 @@
+"""Analytics over trees of documents: chunking, hybrid retrieval, clustering, link graphs, journals, queues and logs."""

@@ -1,0 +1,41 @@
+"""Turns of conversations from a stream of transcript lines, numbered in state."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from mossgrove.operators import turns
+from mossgrove.sources.scratch import root
+
+_OUT = "session string, line bigint, role string, timestamp string, content string, turn_number bigint"
+
+
+def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Numbers a session's new turns on from the last one, and skips lines that it has had."""
+    count, last = state.get if state.exists else (0, -1)
+    new = pd.concat(list(batches)).sort_values("line")
+    new = new[new.line > last].drop_duplicates("line")
+    if len(new):
+        state.update((count + len(new), int(new.line.iloc[-1])))
+        yield new.assign(turn_number=range(count + 1, count + len(new) + 1))[["session", "line", "role", "timestamp", "content", "turn_number"]]
+
+
+def capture(lines: DataFrame) -> DataFrame:
+    """A stream of transcript lines (session, line, value) as numbered turns; a session's lines come in order of files."""
+    return turns.parse(lines).groupBy("session").applyInPandasWithState(_number, _OUT, "turn_count bigint, last_line bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The turns of ``lines`` after they came as a stream: two files, the earlier lines first."""
+    at = f"{root(spark)}/stream-{uuid.uuid4().hex}"
+    lines.where("line < 4").coalesce(1).write.mode("append").json(f"{at}/in")
+    lines.where("line >= 4").coalesce(1).write.mode("append").json(f"{at}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).json(f"{at}/in")
+    q = capture(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(_OUT).parquet(f"{at}/out")
