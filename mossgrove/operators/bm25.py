@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mossgrove.functions.text import query_terms, tokens
+from mossgrove.functions.vectors import let
 from mossgrove.model import Params
 
 #: Directories that a stored index is partitioned into by term.
@@ -35,14 +36,16 @@ def _phrase(words: Column, phrase: list[str]) -> Column:
     """How often a phrase's tokens are adjacent in ``words``."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda w: w == phrase[0]))
-    def here(i: Column) -> Column:
-        out = F.get(words, i) == phrase[0]
-        for k, token in enumerate(phrase[1:], 1):
-            out = out & (F.get(words, i + k) == token)
-        return out
-
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - len(phrase)), here)
-    return F.when(F.size(words) < len(phrase), F.lit(0)).otherwise(F.size(starts))
+    def starts(w: Column) -> Column:
+        def here(i: Column) -> Column:
+            out = F.get(w, i) == phrase[0]
+            for k, token in enumerate(phrase[1:], 1):
+                out = out & (F.get(w, i + k) == token)
+            return out
+
+        return F.when(F.size(w) < len(phrase), F.lit(0)).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(w) - len(phrase)), here)))
+
+    return let(words, starts)  # a filter on the count may be pushed to where ``words`` is no column yet
 
 
 def phrases(spark, query: str) -> list[list[str]]:

@@ -33,7 +33,7 @@ class Vault:
     def write(self, rows: DataFrame) -> DataFrame:
         """path and ciphertext of rows (entity, day, pos, content): one file each, counted by entity and day."""
         n = F.row_number().over(Window.partitionBy("entity", "day").orderBy("pos"))
-        path = F.concat("entity", F.lit("/"), F.date_format("day", "yyyy-MM-dd"), F.lit("-"), F.lpad(n.cast("string"), 3, "0"), F.lit(".md.enc"))
+        path = F.concat("entity", F.lit("/"), F.date_format("day", "yyyy-MM-dd"), F.lit("-"), F.format_string("%03d", n), F.lit(".md.enc"))
         sealed = F.base64(F.aes_encrypt(F.col("content").cast("binary"), F.lit(self._key), F.lit("GCM")))
         return rows.select(path.alias("path"), "entity", sealed.alias("ciphertext"))
 

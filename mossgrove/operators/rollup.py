@@ -17,22 +17,24 @@ def joined(key: Column, content: Column) -> Column:
     return F.array_join(F.transform(rows, lambda x: F.concat(F.lit("--- "), x["k"], F.lit(" ---\n"), x["c"])), "\n\n")
 
 
-def children(files: DataFrame) -> DataFrame:
-    """summary, level, key, content: which file (path, content) is read for which summary."""
-    rows = files.select(F.split(forward(F.col("path")), "/").alias("p"), "content").where(F.size("p") > 2)
-    rows = rows.select("p", "content", F.element_at("p", -1).alias("name"), F.element_at("p", -2).alias("dir"), F.element_at("p", -3).alias("up"))
-    own_page, week = F.col("name") == F.concat("dir", F.lit(".md")), F.col("dir").startswith("week")
-    level = F.when(week & F.col("name").rlike(r"^\d{2}-\d{2}\.md$"), F.lit("week")).when(week & own_page, F.lit("month")).when(own_page & F.col("dir").rlike(r"^\d{2}$"), F.lit("year"))
-    rows = rows.withColumn("level", level).where("level IS NOT NULL")
-    day = F.col("level") == "week"
-    base = F.array_join(F.slice("p", F.lit(1), F.size("p") - F.when(day, F.lit(1)).otherwise(F.lit(2))), "/")
-    summary = F.concat(base, F.lit("/"), F.when(day, F.col("dir")).otherwise(F.col("up")), F.lit(".md"))
-    return rows.select(summary.alias("summary"), "level", F.when(day, F.col("name")).otherwise(F.col("dir")).alias("key"), "content")
+#: By level, a child's path: what its summary's path starts with, the summary's name, and the child's key.
+CHILD = {
+    "week": r"^(.*/(week[^/]*))/(\d{2}-\d{2}\.md)$",
+    "month": r"^(.*/([^/]+))/(week[^/]*)/\3\.md$",
+    "year": r"^(.*/([^/]+))/(\d{2})/\3\.md$",
+}
+
+
+def children(files: DataFrame, level: str) -> DataFrame:
+    """summary, level, key, content: which file (path, content) is read for which summary of a level."""
+    p = forward(F.col("path"))
+    summary = F.regexp_replace(p, CHILD[level], "$1/$2.md")
+    return files.where(p.rlike(CHILD[level])).select(summary.alias("summary"), F.lit(level).alias("level"), F.regexp_extract(p, CHILD[level], 3).alias("key"), "content")
 
 
 def rollup(files: DataFrame, level: str) -> DataFrame:
     """path, level, children and entries (what an executor would read) of a level's summaries."""
-    rows = children(files).where(F.col("level") == level)
+    rows = children(files, level)
     return rows.groupBy(F.col("summary").alias("path"), "level").agg(F.count("*").alias("children"), joined(F.col("key"), F.col("content")).alias("entries"))
 
 

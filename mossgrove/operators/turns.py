@@ -55,7 +55,7 @@ def marker(lines: DataFrame, turns: DataFrame) -> DataFrame:
 
 def event_path(timestamp: Column, session: Column, number: Column, entity: Column) -> Column:
     day = F.date_format(parsed(timestamp), "yyyy/MM/yyyy-MM-dd")
-    return F.concat(entity, F.lit("/"), day, F.lit("/"), F.left(session, F.lit(8)), F.lit("-turn-"), F.lpad(number.cast("string"), 4, "0"), F.lit(".md"))
+    return F.concat(entity, F.lit("/"), day, F.lit("/"), F.left(session, F.lit(8)), F.lit("-turn-"), F.format_string("%04d", number.cast("bigint")), F.lit(".md"))
 
 
 def event_content(rows: DataFrame, trigger: str, captured_at: Column) -> Column:
