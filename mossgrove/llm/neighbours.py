@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,10 +185,10 @@ def _descend(graph: DataFrame, units: DataFrame, links: int, back: int, handed:
                 at = np.flatnonzero((group >= lo) & (group < lo + 256) & ok) if len(begins) > 256 else np.flatnonzero(ok)
                 g, p, n = group[at] - lo, place[at], min(256, len(begins) - lo)
                 cube = np.zeros((n, wide, x.shape[1]), "f4")
-                who, new, low = np.full((n, wide), -1, "i8"), np.zeros((n, wide), bool), np.full((n, wide), 9.0, "f4")
-                cube[g, p], who[g, p], new[g, p], low[g, p] = x[at], member[at], fresh[at], floors[at]
+                who, new, low, live = np.zeros((n, wide), "i8"), np.zeros((n, wide), bool), np.full((n, wide), 9.0, "f4"), np.zeros((n, wide), bool)
+                cube[g, p], who[g, p], new[g, p], low[g, p], live[g, p] = x[at], member[at], fresh[at], floors[at], True
                 s = np.matmul(cube, cube.transpose(0, 2, 1))
-                s[~(new[:, :, None] | new[:, None, :]) | (who[:, None, :] < 0) | (who[:, :, None] == who[:, None, :]) | (s <= low[:, :, None])] = -9
+                s[~(new[:, :, None] | new[:, None, :]) | ~live[:, None, :] | (who[:, :, None] == who[:, None, :]) | (s <= low[:, :, None])] = -9
                 top = np.argpartition(-s, handed - 1, axis=2)[:, :, :handed]
                 sims = np.take_along_axis(s, top, 2)
                 ids = np.take_along_axis(np.broadcast_to(who[:, None, :], s.shape), top, 2)
@@ -246,9 +245,8 @@ def search(graph: DataFrame, units: DataFrame, queries: DataFrame, beam: int = B
         for c in groups(batches, "query"):
             query = c["query"].to_numpy()
             begins = np.append(np.flatnonzero(np.append(True, query[1:] != query[:-1])), len(query))
-            found, near = c["found"].to_numpy(zero_copy_only=False), c["near"]
-            has = np.flatnonzero(~np.isnan(found)) if found.dtype.kind == "f" else np.arange(len(found))
-            known = pa.compute.fill_null(c["found"], -1).to_numpy(zero_copy_only=False)
+            near, there = c["near"], c["found"].is_valid().to_numpy(zero_copy_only=False)
+            known, has = c["found"].fill_null(0).to_numpy(zero_copy_only=False), np.flatnonzero(there)
             out = {k: [] for k in names}
             x = np.zeros((len(known), 0), "f4")
             if len(has):
@@ -262,7 +260,7 @@ def search(graph: DataFrame, units: DataFrame, queries: DataFrame, beam: int = B
                 closing = np.flatnonzero(open_.astype(bool))[:wide]
                 open_ = open_.astype(bool)
                 open_[closing] = False
-                own = np.arange(s, e)[known[s:e] >= 0]
+                own = np.arange(s, e)[there[s:e]]
                 ids = np.concatenate([ids, known[own]])
                 sims = np.concatenate([sims.astype("f4"), x[own] @ q if len(own) else np.zeros(0, "f4")])
                 open_ = np.concatenate([open_, np.ones(len(own), bool)])

@@ -24,7 +24,7 @@ from mossgrove.llm.labels import sample
 SAMPLE, PLAIN = 4_000, 120
 THRESHOLD = 0.3
 CHAIN = 64
-EPOCHS, RATE = 6, 0.5
+EPOCHS, UPDATES, RATE = 6, 150, 0.5
 #: A word or a start that no other document has is a sign of toxicity if, by chance, less than this many would be in
 #: as many toxic documents and in no other.
 BY_CHANCE = 0.01
@@ -202,7 +202,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
     weights, square, trans = np.zeros(len(number) + 2), np.full(len(number) + 2, 1e-8), np.zeros((2, 2))
     weights[-1] = np.log(tag.mean() / (1 - tag.mean()))
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES // (-(-len(count) // 512))))):
         order = rng.permutation(len(count))
         for lo in range(0, len(order), 512):
             own = order[lo : lo + 512]
