@@ -83,7 +83,7 @@ def pack_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, extra: list[str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document (text or null, which is empty) of doc_id and text."""
 
     def make():
@@ -142,4 +142,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     text is the end id alone; null ids and repeated rows are packed like any other; an empty table gives no
     rows. Equal lengths are ranked by doc_id, piece and checksum; rows equal in all of these are alike.
     """
-    return best_fit(pieces(docs, tokenizer, capacity), capacity)
+    return best_fit(store(pieces(docs, tokenizer, capacity), "pieces"), capacity)
