@@ -21,7 +21,7 @@ from mossgrove.llm.common import WORD, counted, store
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 BUCKETS = 4096
-SALTS = 1
+SALTS = 64
 SYMBOLS = "#*$%&|<>"
 
 
