@@ -81,6 +81,8 @@ _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}})(?![A-Za-z0-9-]|\s+at\s|\s*@)")
 _HINTS = ("@ ", " @", *(f"{b}{s}{w}" for b in "[({<" for s in ("", " ") for w in ("at", "dot", "punkt", "punto", "point", "@", ".")), *(f" {w} " for w in ("dot", "punkt", "punto", "point")))
+# Endings of hosts that a bare "at ... dot ..." needs, so that prose isn't an address (fixed values)
+_ENDINGS = frozenset("com org net edu gov info biz io app dev example de fr es it nl at ch pt uk ie eu us ca au br mx ar".split())
 _RUN = str.maketrans("-,\n\t", "    ")
 _DOTTED = re.compile(rf"(?i){_DOT}")
 _NUMBERS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
@@ -116,8 +118,11 @@ def _digits(m: re.Match) -> str:
 
 
 def _address(m: re.Match) -> str:
-    spelled = "@" in m[2] or re.search(r"[\[({<]", m[0]) or _DOTTED.sub(".", m[3]) != m[3]
-    return f"{_DOTTED.sub('.', m[1])}@{_DOTTED.sub('.', m[3])}" if spelled else m[0]
+    """An address whose @ is a sign or in brackets, or is a bare word before a host that is spelled out."""
+    host = _DOTTED.sub(".", m[3])
+    signed = "@" in m[2] or re.search(r"[\[({<]", m[2])
+    spelled = host != m[3] and host.rpartition(".")[2].lower() in _ENDINGS
+    return f"{_DOTTED.sub('.', m[1])}@{host}" if signed or spelled else m[0]
 
 
 def _marks(text: str) -> tuple[bool, bool]:

@@ -1,0 +1,221 @@
+import random
+import re
+from collections import Counter, defaultdict
+from math import log, log2
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from mossgrove.llm import linktrust, pii, rules, secrets
+from mossgrove.llm.spans import digest
+
+
+def plain_secrets(t):
+    out = [("assign", *m.span()) for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def plain_pii(t):
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return out
+
+
+def mess(n, parts, most=16):
+    random.seed(n)
+    for _ in range(n):
+        yield "".join(random.choice(parts) for _ in range(random.randrange(most)))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    parts = ["@", "a", "1", ".", "-", "_", "+", " ", "12", "256", "(", ")", "é", "AKIA", "AKIAB2C3D4E5F6G7", "toKen", "api_key", "=", ":", '"', "f0" * 16, "4111 1111 1111 1111", "password=hunter22x", "b@c.de", "10.0.0.1", "+49 30 1234567"]
+    for t in mess(20_000, parts):
+        assert secrets.base(t) == plain_secrets(t) == secrets.scan(t)[0], t
+        assert pii.base(t) == plain_pii(t), t
+        found, every = pii.scan(t)
+        assert set(found) <= set(every) and set(secrets.scan(t)[0]) <= set(secrets.scan(t)[1])
+
+
+def test_window_entropy_is_that_of_each_window():
+    random.seed(1)
+    for _ in range(300):
+        run = "".join(random.choice("abcdefghijKLMNOPQR0123456789+/") for _ in range(random.randrange(20, 60)))
+        hot = set()
+        for i in range(len(run) - 19):
+            w = run[i : i + 20]
+            h = -sum(c / 20 * log2(c / 20) for c in Counter(w).values())
+            kind = secrets._class(sum(c.islower() for c in w), sum(c.isupper() for c in w), sum(c.isdigit() for c in w), sum(c in "0123456789abcdefABCDEF" for c in w), 20)
+            if kind and h >= secrets.THRESHOLDS[kind] - 1e-9:
+                hot.update(range(i, i + 20))
+        assert {k for _, s, e in secrets.entropy_spans(run) for k in range(s, e)} == hot
+
+
+def test_entropy_adds_and_allows():
+    key = "wJalrXUtnFEMI7MDENGbPxRfiCYzK3T9qQ2"
+    found, every = secrets.scan(f"see {key} here")
+    assert not found and [k for k, _, _ in every] == ["entropy"]
+    for ok in ("123e4567-e89b-12d3-a456-426614174000", "internationalisierungsbeauftragte", "EXAMPLEKEY" + key, "1234567890123456789012345", "sha256-" + key):
+        assert not secrets.scan(f"see {ok} here")[1], ok
+    assert [k for k, _, _ in secrets.scan(f"token = {key}")[1]] == ["assign"]
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("write john dot doe at example dot com today", "email", "john dot doe at example dot com"),
+        ("x jane [at] site [dot] org y", "email", "jane [at] site [dot] org"),
+        ("mail jоhn@exаmple.com now", "email", "jоhn@exаmple.com"),
+        ("ｊoe＠example．com", "email", "ｊoe＠example．com"),
+        ("call plus four nine one five one two three four five six seven ok", "phone", "plus four nine one five one two three four five six seven"),
+        ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
+        ("host 10 dot 0 dot 0 dot 1 up", "ip", "10 dot 0 dot 0 dot 1"),
+        ("4111​1111 1111 1111 paid", "card", "4111​1111 1111 1111"),
+    ],
+)
+def test_disguises_map_back_to_the_source(text, kind, span):
+    found, every = pii.scan(text)
+    assert not found and [(k, text[s:e]) for k, s, e in every] == [(kind, span)]
+    assert pii.masked(text) == text.replace(span, f"<{kind.upper()}>")
+
+
+def test_plain_prose_is_left_alone():
+    for t in ("Meet us at the dot on the map, one two three.", "Look at example.com for one more point of view", "He is at home. Dot is five.", "uno dos tres", "The ratio 1.5 at 3 dot 5"):
+        assert pii.scan(t) == ([], [])
+
+
+def test_long_texts_are_linear():
+    for t in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "+1" * 100_000, "password" * 40_000, "one " * 60_000):
+        assert pii.scan(t[:200_000]) is not None and secrets.scan(t) is not None
+
+
+def test_scans_of_odd_rows(odd, odd_rows, empty):
+    for find in (pii.find, secrets.find):
+        rows = find(odd).collect()
+        assert len(rows) == len(odd_rows) and all(r.base_sha256 == digest([]) and r.spans == "" for r in rows if r.doc_id in (20, 21, 22))
+        assert find(empty).count() == 0
+    masked = pii.mask(odd)
+    assert masked.columns == odd.columns and Counter(map(tuple, masked.collect())) == Counter(odd_rows)
+
+
+def plain_measures(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n, over = Counter(grams), set()
+    for i, g in enumerate(grams):
+        if n[g] > 1:
+            over.update(range(i, i + 5))
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(over)
+
+
+def test_rules_match_brute_force(spark, odd, odd_rows, empty):
+    texts = list(mess(150, ["a b c d e ", "x ", "y\n", "\n", "#$ ", "é ", "w w w w w ", "a b c d e\n"], 40)) + [r[1] for r in odd_rows if r[0] != 30]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in rules.judge(docs).collect()}
+    # the score: the same cells, counted and averaged in Python
+    cells = {r.doc_id: r.c for r in docs.select("doc_id", rules.cells(F.coalesce("text", F.lit(""))).alias("c")).collect()}
+    own = {r.doc_id: r.s for r in docs.select("doc_id", rules.strict(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    target, raw = Counter(range(rules.BUCKETS)), Counter(range(rules.BUCKETS))
+    for i, c in cells.items():
+        raw.update(c)
+        if own[i]:
+            target.update(c)
+    t, r = sum(target.values()), sum(raw.values())
+    for i, text in enumerate(texts):
+        got = rows[i]
+        assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == plain_measures(text), text
+        want = sum(log(target[c] / t) - log(raw[c] / r) for c in cells[i]) / len(cells[i]) if cells[i] else 0.0
+        assert got.score == pytest.approx(want, abs=1e-9)
+        assert got.base_failed == (got.n_words < 10 or 100 * got.n_repeat_words > 20 * got.n_words)
+        assert got.kept == (not got.base_failed and got.score >= rules.THRESHOLD)
+    assert rules.judge(odd).count() == len(odd_rows) and rules.judge(empty).count() == 0
+
+
+def test_rules_use_no_python(odd):
+    plan = rules.judge(odd)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_trust(pages, rules_=linktrust.RULES, steps=linktrust.STEPS):
+    def part(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+
+    def rule(h, p):
+        best = [r for r in rules_ if (h == r[1].split("/")[0] or h.endswith("." + r[1].split("/")[0])) and p.startswith("/" + r[1].partition("/")[2])]
+        return max(best, key=lambda r: len(r[1]), default=None)
+
+    own, links = defaultdict(list), Counter()
+    for _, url, html in pages:
+        h, p = part(url)
+        if h:
+            r = rule(h, p)
+            own[h].append(r and r[0])
+        for u in re.findall(linktrust.LINK, html or ""):
+            d = part(u)[0]
+            if h and d and d != h:
+                links[h, d] += 1
+    ranks = {}
+    for kind, verdict in (("trust", "allow"), ("distrust", "block")):
+        seeds = [h for h, v in own.items() if v.count(verdict) > len(v) / 2]
+        edge = {(a, b) if kind == "trust" else (b, a): n for (a, b), n in links.items()}
+        out = Counter()
+        for (a, _), n in edge.items():
+            out[a] += n
+        rank = {h: 1 / len(seeds) for h in seeds}
+        for _ in range(steps if links else 0):
+            new = Counter()
+            for (a, b), n in edge.items():
+                new[b] += linktrust.DAMPING * rank.get(a, 0) * n / out[a]
+            rest = 1 - sum(new.values())
+            for h in seeds:
+                new[h] += rest / len(seeds)
+            rank = new
+        ranks[kind] = rank
+    result = []
+    for i, url, _ in pages:
+        h, p = part(url)
+        r = rule(h, p) if h else None
+        bad = round(ranks["distrust"].get(h, 0), 9) > round(ranks["trust"].get(h, 0), 9)
+        result.append((i, h, p, r and r[1], r[0] if r else "block" if bad else "allow"))
+    return result
+
+
+def test_link_trust_matches_brute_force(spark):
+    random.seed(9)
+    hosts = ["a.com", "b.com", "x.example.com", "www.example.com", "c.org", "d.org", "e.org", "f.org", "g.net", "h.net"]
+    pages = []
+    for i in range(200):
+        h = random.choice(hosts)
+        to = random.choices(hosts, weights=[9 if (k < 3) == (hosts.index(h) < 5) else 1 for k in range(len(hosts))], k=3)
+        html = "".join(f'<a class=x href="HTTPS://{t.upper()}/p?q#f">t</a>' for t in to) + "<a href='/local'>"
+        pages.append((i, f"https://{h.title()}/{random.choice(['en', 'es', 'fr'])}/{i}?x#y", html))
+    pages += [(900, None, None), (901, "no scheme", ""), (902, "http://c.org", None), (None, "http://d.org/a://b/", "x"), (0, pages[0][1], pages[0][2])]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'z' AS host", "1 AS rule", "2 AS rank")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in linktrust.judge(df).collect())
+    assert got == Counter(plain_trust(pages))
+    assert {v for (_, _, _, r, v) in got if r is None} == {"allow", "block"}
+    assert linktrust.judge(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, odd, odd_rows, labels, tmp_path):
+    d = str(tmp_path)
+    odd.write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, d)
+        if k < 4:
+            assert out.columns == odd.columns
+            out.write.parquet(f"{d}/{k}")
+            docs = spark.read.parquet(f"{d}/{k}")
+            assert {r.doc_id for r in docs.collect()} <= {r[0] for r in odd_rows}
+            assert stage(spark, odd.limit(0), d).count() == 0
+    assert out.count() == corpus_pipeline.run(spark, d).count() > 0
