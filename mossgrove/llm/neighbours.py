@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from mossgrove.llm.common import drop, prepare, store
 
 NEAREST = 5
-LINKS, BACK, TREES, LEAF, JOINS, HANDED = 20, 14, 8, 512, 3, 6
-BEAM, WIDE, ROUNDS, ENTRIES = 96, 24, 5, 128
+LINKS, BACK, TREES, LEAF, JOINS, HANDED = 24, 16, 16, 1024, 3, 6
+BEAM, WIDE, ROUNDS, ENTRIES = 192, 40, 6, 128
 SEED = 11
 _LISTS = "id bigint, ids array<bigint>, sims array<float>, fresh array<boolean>"
 
