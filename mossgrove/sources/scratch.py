@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; in local mode without one, a temporary folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
@@ -19,18 +20,34 @@ def root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{root(spark)}/mossgrove/{spark.sparkContext.applicationId}"
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and read back; its lineage ends there."""
-    path = f"{root(df.sparkSession)}/steps/{label}-{uuid.uuid4().hex}"
+    """``df`` written once and read back: lineage ends there, and a lost executor costs no more than a re-read.
+
+    The files stay until drop() or clear(), or until the folder is cleaned up.
+    """
+    path = f"{_own(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._step_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(df: DataFrame | None) -> None:
+    """Deletes the files of a table made by store()."""
     path = getattr(df, "_step_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application stored; what was read from them can't be read again."""
+    _delete(spark, _own(spark))
