@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: the cluster's scratch folder and Arrow batches."""
+"""What the operators of this subpackage share: Arrow batches, stored tables, rows that are held out."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mossgrove.sources.scratch import drop, store
+
 #: ``[^\x20\x09-\x0D]+``: what a word is in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -29,39 +29,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one in local mode only."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.gettempdir()}/mossgrove-scratch"
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns it read back: lineage ends there, and a lost
-    executor costs no more than a re-read. The files stay until drop() or the folder's own clean-up."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/mossgrove/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._mossgrove_path = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Deletes the files of a table made by store()."""
-    path = getattr(df, "_mossgrove_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """``make()`` runs once a task and gives a function from a batch's columns to those of ``schema``."""
     prepare(df.sparkSession)
