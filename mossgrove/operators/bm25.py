@@ -62,9 +62,12 @@ def bm25(chunks: DataFrame, query: str, params: Params = Params()) -> DataFrame:
     terms = phrases(chunks.sparkSession, query)
     if not terms:
         return chunks.select("id", F.lit(0.0).alias("score")).where("false")
-    counted = chunks.select("id", document_tokens(chunks).alias("_w")).select("id", F.size("_w").alias("length"), *(_phrase(F.col("_w"), t).alias(f"f{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
-    s = counted.where(" OR ".join(f"f{i} > 0" for i in range(len(terms)))).withColumn("s", stats.select(F.struct("*")).scalar())
+    names = [f"f{i}" for i in range(len(terms))]
+    hit = lambda c: F.greatest(F.lit(0), *(c[f] for f in names)) > 0
+    counts = let(document_tokens(chunks), lambda w: F.struct(F.size(w).alias("length"), *(_phrase(w, t).alias(f) for f, t in zip(names, terms))))
+    stats = chunks.select(counts.alias("c")).agg(F.count("*").alias("n"), F.avg("c.length").alias("mean"), *(F.count_if(F.col(f"c.{f}") > 0).alias(f"n{i}") for i, f in enumerate(names)))
+    # chunks without a hit are dropped by the generator: a filter would be pushed down and split texts once for each term
+    s = chunks.select("id", F.inline(F.filter(F.array(counts), hit))).withColumn("s", stats.select(F.struct("*")).scalar())
     score = sum((term_score(F.col(f"f{i}"), F.col("length"), F.col("s.mean"), idf(F.col("s.n"), F.col(f"s.n{i}")), params) for i in range(len(terms))), F.lit(0.0))
     return s.select("id", score.alias("score"))
 

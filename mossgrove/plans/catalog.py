@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mossgrove.sources.spread import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -58,7 +60,7 @@ def sql_table(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFra
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks: id, source, heading, content."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", f"{PATH} AS source", "'' AS heading", "text AS content")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id AS id", f"{PATH} AS source", "'' AS heading", "text AS content")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
