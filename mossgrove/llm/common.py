@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrove.sources.scratch import drop, store
+from mossgrove.sources.spread import spread
 
 #: ``[^\x20\x09-\x0D]+``: what a word is in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,4 +94,4 @@ def with_text(docs: DataFrame, column: str, change: Callable[[], Callable[[pa.Ar
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
