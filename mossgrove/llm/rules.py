@@ -36,7 +36,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """
 
     def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
+        hashed = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, window))))
+        return F.slice(hashed, F.lit(1), F.greatest(F.size(h) - window + 1, F.lit(0)))  # the last ones begin too late to be whole
 
     def starts(g: Column) -> Column:
         pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
@@ -56,16 +57,25 @@ def _dup_lines(text: Column) -> Column:
     return _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def cells(text: Column, buckets: int = BUCKETS) -> Column:
-    """The cells of a text's token unigrams and bigrams."""
+def grams(text: Column) -> Column:
+    """Hashes of a text's token unigrams and bigrams."""
 
     def both(h: Column) -> Column:
-        pairs = F.when(F.size(h) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-        return F.transform(F.concat(h, pairs), lambda x: x.bitwiseAND(F.lit(buckets - 1)).cast("int"))
+        pairs = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.concat(h, F.zip_with(F.slice(h, F.lit(1), pairs), F.slice(h, F.lit(2), pairs), lambda a, b: F.xxhash64(a, b)))
 
     return _let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)), both)
 
 
+def cell(gram: Column, buckets: int = BUCKETS) -> Column:
+    return gram.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def cells(text: Column, buckets: int = BUCKETS) -> Column:
+    """The cells of a text's token unigrams and bigrams."""
+    return F.transform(grams(text), lambda x: cell(x, buckets))
+
+
 def strict(text: Column) -> Column:
     """The rules of the trusted target: no symbols, no runs of two signs or more, no repeated line, ten words."""
     return ~text.rlike(r"[#*$%&|<>]|[^\p{L}\p{N}\s]{2}") & text.rlike(rf"(?:{WORD}\s+){{9}}\S") & (_dup_lines(text) == 0)
@@ -78,7 +88,7 @@ def ratios(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     task is a row for each cell.
     """
     text = F.coalesce("text", F.lit(""))
-    seen = docs.select(strict(text).cast("long").alias("own"), cells(text, buckets).alias("cells")).select("own", F.explode("cells").alias("cell"))
+    seen = docs.select(strict(text).cast("long").alias("own"), grams(text).alias("grams")).select("own", F.explode("grams").alias("gram")).select("own", cell(F.col("gram"), buckets).alias("cell"))
     none = docs.sparkSession.range(buckets).select(F.lit(1).cast("long").alias("target"), F.lit(1).cast("long").alias("raw"), F.col("id").cast("int").alias("cell"))
     counts = seen.groupBy("cell").agg(F.sum("own").alias("target"), F.count("*").alias("raw")).select("target", "raw", "cell").unionByName(none)
     counts = counts.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
@@ -96,7 +106,7 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS)
     text, words, model = F.col("_text"), F.col("_words"), F.col("_model")
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
     read = read.select("*", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"), ratios(docs, buckets).scalar().alias("_model"))
-    score = _let(cells(text, buckets), lambda c: F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(model, x)) / F.size(c)))
+    score = _let(grams(text), lambda c: F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(model, cell(x, buckets))) / F.size(c)))
     out = read.select(
         "doc_id",
         F.size(words).cast("bigint").alias("n_words"),
