@@ -77,13 +77,15 @@ _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(plus|\+)[ -]*)?((?:{_WORD}|[0-9])(?:[ ,-]{{0,2}}(?:{_WORD}|[0-9])){{4,}})(?!\w)")
 _ONE = re.compile(rf"(?i){_WORD}|[0-9]")
+# two units next to each other, one of them a word, are in whatever _digits() changes
+_PAIR = rf"(?:{_WORD})[ ,-]{{0,2}}(?:{_WORD}|[0-9])|[0-9][ ,-]{{0,2}}(?:{_WORD})"
+_PAIRS, _ANY_PAIRS = re.compile(_PAIR), re.compile(rf"(?i){_PAIR}")
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}})(?![A-Za-z0-9-]|\s+at\s|\s*@)")
 _HINTS = ("@ ", " @", *(f"{b}{s}{w}" for b in "[({<" for s in ("", " ") for w in ("at", "dot", "punkt", "punto", "point", "@", ".")), *(f" {w} " for w in ("dot", "punkt", "punto", "point")))
 # Endings of hosts that a bare "at ... dot ..." needs, so that prose isn't an address (fixed values)
 _ENDINGS = frozenset("com org net edu gov info biz io app dev example de fr es it nl at ch pt uk ie eu us ca au br mx ar".split())
-_RUN = str.maketrans("-,\n\t", "    ")
 _DOTTED = re.compile(rf"(?i){_DOT}")
 _NUMBERS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 
@@ -126,9 +128,10 @@ def _address(m: re.Match) -> str:
 
 
 def _marks(text: str) -> tuple[bool, bool]:
-    """Whether a text may have spelled digits (five at least), and disguised signs."""
+    """Whether a text has runs of digits some of which are spelled, and may have disguised signs."""
     low = text.lower()
-    return sum(w in _DIGITS for w in low.translate(_RUN).split()) >= 5, any(x in low for x in _HINTS)
+    pair = _PAIRS.search(low) if text.isascii() else _ANY_PAIRS.search(text)
+    return bool(pair) and any(_digits(m) != m[0] for m in _SPELLED.finditer(text)), any(x in low for x in _HINTS)
 
 
 def disguised(text: str, found: list[Span]) -> list[Span]:

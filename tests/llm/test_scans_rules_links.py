@@ -84,6 +84,21 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert pii.masked(text) == text.replace(span, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("card 4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+        ("call +49 one 5 1 two 3 4 5 6 7", "phone", "+49 one 5 1 two 3 4 5 6 7"),
+        ("call plus 4 nine 1 five 1 2 three 4 5 6 7", "phone", "plus 4 nine 1 five 1 2 three 4 5 6 7"),
+        ("card 4111-1111-1111-oneoneoneone", "card", "4111-1111-1111-oneoneoneone"),
+        ("card 4111 1111 1111 111ONE é", "card", "4111 1111 1111 111ONE"),
+    ],
+)
+def test_few_spelled_digits_are_enough(text, kind, span):
+    assert [(k, text[s:e]) for k, s, e in pii.scan(text)[1]] == [(kind, span)]
+    assert pii.masked(text) == text.replace(span, f"<{kind.upper()}>")
+
+
 def test_plain_prose_is_left_alone():
     for t in ("Meet us at the dot on the map, one two three.", "Look at example.com for one more point of view", "He is at home. Dot is five.", "uno dos tres", "The ratio 1.5 at 3 dot 5"):
         assert pii.scan(t) == ([], [])
