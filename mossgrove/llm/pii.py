@@ -3,7 +3,8 @@
 Base patterns look at the text as it is. Then transducers rewrite it: homoglyphs, full-width and other digits
 become ASCII and invisible characters go; spelled digits become digits; ``[at]`` and ``dot`` disguises become signs.
 Each character of the rewritten text keeps the source span it came from, so what the patterns find there maps
-back to source characters. Only what a transducer changed is added.
+back to source characters. Only what a transducer changed is added, also where it goes beyond
+a base span that it holds a part of; masks cover the union.
 """
 
 from __future__ import annotations
@@ -84,8 +85,21 @@ _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}})(?![A-Za-z0-9-]|\s+at\s|\s*@)")
 _HINTS = ("@ ", " @", *(f"{b}{s}{w}" for b in "[({<" for s in ("", " ") for w in ("at", "dot", "punkt", "punto", "point", "@", ".")), *(f" {w} " for w in ("dot", "punkt", "punto", "point")))
-# Endings of hosts that a bare "at ... dot ..." needs, so that prose isn't an address (fixed values)
-_ENDINGS = frozenset("com org net edu gov info biz io app dev example de fr es it nl at ch pt uk ie eu us ca au br mx ar".split())
+# Endings of hosts that a bare "at ... dot ..." needs, so that prose isn't an address (fixed values): of countries, and common others
+_ENDINGS = frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "com org net edu gov mil int info biz name pro aero arpa asia cat coop jobs mobi museum post tel travel xxx app dev example test invalid local online site tech store shop blog cloud email mail agency academy art bank berlin bio cafe care center chat city club company consulting design digital diy earth energy engineering events expert family farm finance foundation fun fund games global group guru health help host hosting house icu inc ink institute international jetzt koeln law legal life link live llc london ltd marketing media moe money network news ngo nyc one ong onl page paris partners photo photography plus press pub quest report rocks run sale school science security services social software solutions space studio style support systems team tips today tokyo tools top training university ventures video vip website wien wiki win work works world wtf xyz zone".split()
+)
+# Endings that are words of prose too, and what no host before such an ending is called: "at this point it", "at the dot in"
+_WORDS = frozenset("am as at be by do es id in is it la me my no so st to us one plus post name pro art care center city company family group health help house law life link live local mail media money news page press run sale school science security services site space store style support systems team test tips today tools top training work works world".split())
+_NO_HOST = frozenset("a an the this that these those some any no one each every which what whatever certain another same either single starting turning boiling freezing der die das dem den diesem einem el la los las le les un una une este ese cet ce quel".split())
+# Without brackets or spelled dots, "jane at gmail.com" is an address if the host gives mailboxes to anyone, if the name
+# looks like a login or if mail is spoken of right before; "look at example.com" is none (fixed values)
+_MAILBOXES = re.compile(r"(?i)(?:gmail|googlemail|yahoo|ymail|hotmail|outlook|live|msn|aol|icloud|gmx|web|t-online|freenet|posteo|mailbox|orange|wanadoo|laposte|sfr|libero|virgilio|yandex|mail|rambler|qq|163|126|naver|daum|hanmail|proton|protonmail|pm|zoho|fastmail|tutanota|tuta|hey|terra|uol|bol|telefonica|comcast|verizon|att|sbcglobal|btinternet|rediffmail|rocketmail|inbox|mac|me)(?:\.[a-z]{2,3}){1,2}")
+_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9_%+-]*[0-9._+-][A-Za-z0-9._%+-]*")
+_CUE = re.compile(r"(?i)(?:e-?mail|mail|write|contact|reach|schreib\w*|escrib\w*|correo|courriel|contacte\w*|écri\w*|kontakt)(?:\s+(?:to|me|us|an|a|à|is|address|ist|es|est))*\s*:?\s*\Z")
+_PROSE = frozenset("look looks looked looking us me him her them it is are was were be available live hosted found read more see visit page site team here there online located meet account accounts address mail email e-mail write contact reach work works working log login sign register registered free today now shop find out only also directly and or".split())
+_PLAIN_AT = re.compile(r"(?i)\sat\s+[a-z0-9-]+\.[a-z0-9-]")
 _DOTTED = re.compile(rf"(?i){_DOT}")
 _NUMBERS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 
@@ -120,18 +134,32 @@ def _digits(m: re.Match) -> str:
 
 
 def _address(m: re.Match) -> str:
-    """An address whose @ is a sign or in brackets, or is a bare word before a host that is spelled out."""
-    host = _DOTTED.sub(".", m[3])
-    signed = "@" in m[2] or re.search(r"[\[({<]", m[2])
-    spelled = host != m[3] and host.rpartition(".")[2].lower() in _ENDINGS
-    return f"{_DOTTED.sub('.', m[1])}@{host}" if signed or spelled else m[0]
+    """An address whose @ is a sign or in brackets, or is a bare word: before a host that is spelled out, or as _login() says."""
+    name, host = _DOTTED.sub(".", m[1]), _DOTTED.sub(".", m[3])
+    if "@" in m[2] or re.search(r"[\[({<]", m[2]) or (_spelled(m[3], host) if host != m[3] else _login(m, name, host)):
+        return f"{name}@{host}"
+    return m[0]
+
+
+def _spelled(written: str, host: str) -> bool:
+    """Whether a host with spelled dots has a known ending and is none of prose's "at this point in"."""
+    *labels, ending = host.lower().split(".")
+    if ending not in _ENDINGS:
+        return False
+    return ending not in _WORDS or not (labels[-1] in _NO_HOST or (ending not in ("it", "at", "us", "es") and re.search(r"(?i)\spoint\s", written)))
+
+
+def _login(m: re.Match, name: str, host: str) -> bool:
+    if host.rpartition(".")[2].lower() not in _ENDINGS or name.lower() in _PROSE:
+        return False
+    return bool(_MAILBOXES.fullmatch(host) or _LOGIN.fullmatch(name) or _CUE.search(m.string, max(0, m.start() - 40), m.start()))
 
 
 def _marks(text: str) -> tuple[bool, bool]:
     """Whether a text has runs of digits some of which are spelled, and may have disguised signs."""
     low = text.lower()
     pair = _PAIRS.search(low) if text.isascii() else _ANY_PAIRS.search(text)
-    return bool(pair) and any(_digits(m) != m[0] for m in _SPELLED.finditer(text)), any(x in low for x in _HINTS)
+    return bool(pair) and any(_digits(m) != m[0] for m in _SPELLED.finditer(text)), any(x in low for x in _HINTS) or bool(_PLAIN_AT.search(low))
 
 
 def disguised(text: str, found: list[Span]) -> list[Span]:
@@ -151,7 +179,8 @@ def disguised(text: str, found: list[Span]) -> list[Span]:
     if t.text == text:
         return []
     spans = [(k, *t.span(s, e), t.text[s:e]) for k, s, e in base(t.text)]
-    return free([(k, s, e) for k, s, e, x in spans if text[s:e] != x], found)
+    more = free([(k, s, e) for k, s, e, x in spans if text[s:e] != x], [])
+    return [x for x in more if not any(s <= x[1] and x[2] <= e for _, s, e in found)]
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

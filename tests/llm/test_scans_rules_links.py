@@ -99,6 +99,33 @@ def test_few_spelled_digits_are_enough(text, kind, span):
     assert pii.masked(text) == text.replace(span, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    "text, part, whole",
+    [
+        ("ask john dot doe@example.com now", "doe@example.com", "john dot doe@example.com"),
+        ("ask jоhn@example.com now", "hn@example.com", "jоhn@example.com"),
+    ],
+)
+def test_half_disguised_spans_are_whole(text, part, whole):
+    found, every = pii.scan(text)
+    assert [text[s:e] for _, s, e in found] == [part] and {text[s:e] for _, s, e in every} == {part, whole}
+    assert pii.masked(text) == text.replace(whole, "<EMAIL>")
+
+
+@pytest.mark.parametrize(
+    "text, span",
+    [(f"x jane at mail dot {e} y", f"jane at mail dot {e}") for e in ("jp", "ru", "in", "pl", "co dot uk")]
+    + [("ok jane at gmail.com y", "jane at gmail.com"), ("ok jane.doe at example.org y", "jane.doe at example.org"), ("mail to jane at example.org", "jane at example.org")],
+)
+def test_bare_at(text, span):
+    assert [(k, text[s:e]) for k, s, e in pii.scan(text)[1]] == [("email", span)]
+
+
+def test_bare_at_in_prose():
+    for t in ("But at this point in time", "at the dot in the map", "we met at the dot is it", "at some point it was", "more at docs.example.com", "the team at example.com won", "freeze at freezing point in May"):
+        assert pii.scan(t) == ([], []), t
+
+
 def test_plain_prose_is_left_alone():
     for t in ("Meet us at the dot on the map, one two three.", "Look at example.com for one more point of view", "He is at home. Dot is five.", "uno dos tres", "The ratio 1.5 at 3 dot 5"):
         assert pii.scan(t) == ([], [])
