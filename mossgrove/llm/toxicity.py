@@ -1,9 +1,9 @@
 """Toxicity: a linear-chain conditional random field over words.
 
 Labels are of documents, so token labels come first: in a bounded sample of labelled documents, a word of a toxic
-one is toxic if the word, or its start of 4 to 6 letters, is found in toxic documents only and in enough of
-them. The field is trained on those tags: a word's features (itself and its starts) have weights if tagged words
-have them and other documents don't, and transitions say whether a tag goes on. Forward-backward gives each word's marginal; a document's
+one is toxic if the word, or its start of 4 to 8 letters, is found in toxic documents far more often than in
+others. The field is trained on those tags over whole texts: a word's features (itself and its starts) have weights if tagged
+words have them, whoever else has, and transitions say whether a tag goes on. Forward-backward gives each word's marginal; a document's
 score is the largest of its words' marginals, which does not grow with length as a product would, and words with
 a marginal of a half or more are its offending offsets. Chains end with a sentence and after ``CHAIN`` words, so a batch is a rectangle that numpy sweeps at once.
 """
@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 from mossgrove.llm.common import held_out, map_batches, texts_of
 from mossgrove.llm.labels import sample
 
-#: At most so many labelled documents are learned from, and so many words of each besides those near a tag.
-SAMPLE, PLAIN = 4_000, 120
+#: At most so many labelled documents are learned from.
+SAMPLE = 4_000
 THRESHOLD = 0.3
+STARTS = (4, 5, 6, 7, 8)
+KINDS = 1 + len(STARTS)
 CHAIN = 64
 EPOCHS, UPDATES, RATE = 6, 150, 0.5
-#: A word or a start that no other document has is a sign of toxicity if, by chance, less than this many would be in
-#: as many toxic documents and in no other.
+#: A word or a start is a sign of toxicity if its odds of being in a toxic document are at least so many times those of all
+#: words, and if that is by chance for less than this share of the signs.
+ODDS = 20
 BY_CHANCE = 0.01
 CACHED = 400_000
 WORD = re.compile(r"\w+")
@@ -34,31 +37,39 @@ TOKEN = re.compile(r"\w+|[.!?\n]")  # words, and what ends a sentence
 
 
 def features(word: str) -> list[str]:
-    """Of a lower-case word: itself, and with a hyphen its starts of 4 to 6 letters."""
-    return [word, *(f"{word[:k]}-" for k in (4, 5, 6) if len(word) >= k)]
+    """Of a lower-case word: itself, and with a hyphen its starts of 4 to 8 letters."""
+    return [word, *(f"{word[:k]}-" for k in STARTS if len(word) >= k)]
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def signs(texts: list[str], toxic: list[int]) -> tuple[set[str], set[str]]:
-    """Words and starts of words that only toxic documents have, and that by BY_CHANCE; all that others have.
+def signs(texts: list[str], toxic: list[int]) -> set[str]:
+    """Words and starts of words that toxic documents have far more often than others.
 
-    Copies of a text count once.
+    A feature of n toxic and g other documents is one if its smoothed odds are ODDS times those of all documents, and
+    if so many of its documents would be toxic by chance in less than BY_CHANCE of the features found: Chernoff's
+    bound on the binomial tail, its limit rising with the features found (Benjamini and Hochberg), so that the few words
+    of a language with few toxic rows count beside the many of others. Copies of a text count once.
     """
-    bad, good, distinct = Counter(), set(), {}
+    bad, good, distinct = Counter(), Counter(), {}
     for text, y in zip(texts, toxic):
         distinct[text] = max(y, distinct.get(text, 0))
     for text, y in distinct.items():
-        own = {x for w in set(words_of(text)) for x in features(w)}
-        if y:
-            bad.update(own)
-        else:
-            good |= own
+        (bad if y else good).update({x for w in set(words_of(text)) for x in features(w)})
+    if not bad:
+        return set()
+    names = list(bad)
+    n, g = np.array([bad[x] for x in names], "f8"), np.array([good[x] for x in names], "f8")
     share = (1 + sum(distinct.values())) / (2 + len(distinct))
-    least = max(4, np.log(BY_CHANCE / max(1, len(bad))) / np.log(share))
-    return {x for x, n in bad.items() if x not in good and n >= least}, good
+    part = n / (n + g)
+    unlikely = (n + g) * (part * np.log(part / share) + np.where(g > 0, (1 - part) * np.log(np.maximum(1 - part, 1e-300) / (1 - share)), 0))
+    ok = (n >= 4) & (part > share) & ((n + 0.5) / (g + 0.5) >= ODDS * share / (1 - share))
+    order = np.argsort(-np.where(ok, unlikely, -1), kind="stable")
+    enough = np.where(ok, unlikely, -1)[order] >= np.log(len(names) / BY_CHANCE) - np.log(np.arange(1, len(names) + 1))
+    found = int(np.flatnonzero(enough).max(initial=-1)) + 1
+    return {names[k] for k in order[:found]}
 
 
 def tags(words: list[str], known: set[str]) -> list[int]:
@@ -175,7 +186,7 @@ class Field:
 
 def fit(texts: list[str], toxic: list[int]) -> Field:
     """Trains a field on tags found by signs(). Without toxic documents every word's odds are low and alike."""
-    known, good = signs(texts, toxic)
+    known = signs(texts, toxic)
     if not known:
         return Field({}, -8.0, np.zeros((2, 2)))
     types: dict[str, int] = {}
@@ -183,18 +194,13 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
     for text, y in zip(texts, toxic):
         words = words_of(text)
         own = np.array(tags(words, known) if y else [0] * len(words), "i8")
-        near = np.zeros(len(words), bool)
-        near[:PLAIN] = True
-        for h in np.flatnonzero(own):
-            near[max(0, h - 5) : h + 6] = True
-        near = np.flatnonzero(near)
-        kind += [types.setdefault(words[i], len(types)) for i in near]
-        tag.append(own[near])
-        begins.append(np.diff(near, prepend=-2) > 1)
+        kind += [types.setdefault(w, len(types)) for w in words]
+        tag.append(own)
+        begins.append(np.arange(len(words)) == 0)
     kind, tag, names = np.array(kind, "i8"), np.concatenate(tag), list(types)
     having = Counter(x for t in kind[tag == 1] for x in features(names[t]))
-    number = {x: k for k, x in enumerate(sorted(x for x, n in having.items() if n > 4 and x not in good))}
-    cells = np.array([([number[x] for x in features(w) if x in number] + [len(number)] * 4)[:4] for w in names], "i4")
+    number = {x: k for k, x in enumerate(sorted(x for x, n in having.items() if n > 4))}
+    cells = np.array([([number[x] for x in features(w) if x in number] + [len(number)] * KINDS)[:KINDS] for w in names], "i4")
     row, _ = chains(np.concatenate(begins))
     count = np.bincount(row)
     first = np.cumsum(count) - count
@@ -214,7 +220,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
             grid[live], gold[live] = weights[of].sum(1) + weights[-1], tag[token]
             p, pair = _marginals(grid, live, trans, pairs=True)
             off = (gold - p)[live]
-            g = np.append(np.bincount(of.ravel(), np.repeat(off, 4), len(number) + 1), off.sum()) / len(own)
+            g = np.append(np.bincount(of.ravel(), np.repeat(off, KINDS), len(number) + 1), off.sum()) / len(own)
             g[-2] = 0
             square += g * g
             weights += RATE * g / np.sqrt(square)

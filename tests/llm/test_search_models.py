@@ -165,3 +165,12 @@ def test_trees_are_as_their_arrays_say():
             node = 2 * node + (2 if one[f[node]] > c[node] else 1)
         total += v[node - 7]
     assert model.score(x)[7] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_one_clean_document_removes_no_word():
+    """A toxic word that a clean document has too, and the words of a language with few toxic documents, are found."""
+    plain = [f"plain words {i} of an everyday text number{i % 50} go on" for i in range(2_000)]
+    toxic = [f"such gromblig{i % 3} stuff {i}" for i in range(200)] + [f"esto marfuzon{'abcdef'[i % 6]} algo {i}" for i in range(12)]
+    field = toxicity.fit([*plain, "a clean gromblig0 text", "otro marfuzona texto", *toxic], [0] * 2_002 + [1] * 212)
+    tag = field.tagger()
+    assert [p.max() >= toxicity.THRESHOLD for p, _ in tag(["new gromblig0 here", "nuevo marfuzonc aqui", "everyday words go on"])] == [True, True, False]
