@@ -14,11 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import ASCII_SPACE, WORD
+from mossgrove.llm.common import ASCII_SPACE
 
 BUCKETS = 1 << 15
 THRESHOLD = -0.35
 WINDOW = 5
+SPACE = r"\s+"  # in Java that is ASCII white space only
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -28,6 +29,26 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def words_of(text: Column, most: int = -1) -> Column:
+    """A text's words; with ``most`` the last of so many parts is the rest of the text."""
+    return F.array_remove(F.split(text, SPACE, most), "")
+
+
+def _zipped(a: Column, b: Column, apart: int) -> Column:
+    """Hashes of each element of ``a`` and that of ``b`` which is ``apart`` further on, as far as there is one."""
+    n = F.greatest(F.size(b) - apart, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(apart + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def _windows(h: Column, window: int, done: int = 1, sofar: Column | None = None) -> Column:
+    """Hashes of ``window`` neighbours, from hashes of twice as many neighbours in each step."""
+    if done == window:
+        return h if sofar is None else sofar
+    if 2 * done <= window:
+        return _let(_zipped(h, h, 1) if sofar is None else _zipped(sofar, sofar, done), lambda x: _windows(h, window, 2 * done, x))
+    return _let(_zipped(sofar, h, done), lambda x: _windows(h, window, done + 1, x))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words in ``window``-word windows found twice or more in the text, from an array of words.
 
@@ -35,10 +56,6 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     words they cover follow from the gaps between their sorted starts.
     """
 
-    def windows(h: Column) -> Column:
-        hashed = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, window))))
-        return F.slice(hashed, F.lit(1), F.greatest(F.size(h) - window + 1, F.lit(0)))  # the last ones begin too late to be whole
-
     def starts(g: Column) -> Column:
         pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
         again = _let(pairs, lambda s: F.transform(F.filter(s, lambda e, k: (e["h"] == F.get(s, k - 1)["h"]) | (e["h"] == F.get(s, k + 1)["h"])), lambda e: e["at"]))
@@ -48,47 +65,46 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         spans = _let(starts(g), lambda p: F.transform(p, lambda x, k: F.least(F.lit(window), F.coalesce(F.get(p, k + 1) - x, F.lit(window)))))
         return F.aggregate(spans, F.lit(0), lambda a, x: a + x)
 
-    counted = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(windows(h), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g))))
+    counted = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(_windows(h, window), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g))))
     return F.when(F.size(words) < window, F.lit(0)).otherwise(counted)
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, ASCII_SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(ASCII_SPACE)) != "")
     return _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def grams(text: Column) -> Column:
-    """Hashes of a text's token unigrams and bigrams."""
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    def both(h: Column) -> Column:
-        pairs = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(h, F.zip_with(F.slice(h, F.lit(1), pairs), F.slice(h, F.lit(2), pairs), lambda a, b: F.xxhash64(a, b)))
 
-    return _let(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)), both)
+def grams(text: Column) -> Column:
+    """Hashes of a text's token unigrams and bigrams."""
+    return _let(F.transform(tokens(text), lambda t: F.xxhash64(t)), lambda h: F.concat(h, _zipped(h, h, 1)))
 
 
 def cell(gram: Column, buckets: int = BUCKETS) -> Column:
     return gram.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def cells(text: Column, buckets: int = BUCKETS) -> Column:
-    """The cells of a text's token unigrams and bigrams."""
-    return F.transform(grams(text), lambda x: cell(x, buckets))
-
-
 def strict(text: Column) -> Column:
     """The rules of the trusted target: no symbols, no runs of two signs or more, no repeated line, ten words."""
-    return ~text.rlike(r"[#*$%&|<>]|[^\p{L}\p{N}\s]{2}") & text.rlike(rf"(?:{WORD}\s+){{9}}\S") & (_dup_lines(text) == 0)
+    return ~text.rlike(r"[#*$%&|<>]|[^\p{L}\p{N}\s]{2}") & (F.size(words_of(text, 11)) >= 10) & (_dup_lines(text) == 0)
 
 
 def ratios(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with one array: by cell, the log of the cell's share in the target over that in the corpus.
 
     Both multinomials are counted over all rows, a count of one added to each cell. What meets in one
-    task is a row for each cell.
+    task is a row for each cell. Tokens are laid out as rows, each beside the next, and hashed there to the cells that
+    grams() gives; the outer form of that step is one which Spark doesn't guard by a filter that would cut the text a second time.
     """
     text = F.coalesce("text", F.lit(""))
-    seen = docs.select(strict(text).cast("long").alias("own"), grams(text).alias("grams")).select("own", F.explode("grams").alias("gram")).select("own", cell(F.col("gram"), buckets).alias("cell"))
+    laid = docs.select(strict(text).cast("long").alias("own"), tokens(text).alias("tokens"))
+    laid = laid.select("own", F.inline_outer(F.arrays_zip(F.col("tokens").alias("token"), F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("next"))))
+    one, both = F.xxhash64("token"), F.xxhash64(F.xxhash64("token"), F.xxhash64("next"))
+    laid = laid.select("own", F.when(F.col("token").isNotNull(), cell(one, buckets)).alias("one"), F.when(F.col("next").isNotNull(), cell(both, buckets)).alias("both"))
+    seen = laid.select("own", F.explode(F.array("one", "both")).alias("cell")).where("cell IS NOT NULL")
     none = docs.sparkSession.range(buckets).select(F.lit(1).cast("long").alias("target"), F.lit(1).cast("long").alias("raw"), F.col("id").cast("int").alias("cell"))
     counts = seen.groupBy("cell").agg(F.sum("own").alias("target"), F.count("*").alias("raw")).select("target", "raw", "cell").unionByName(none)
     counts = counts.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
@@ -105,13 +121,13 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS)
     """
     text, words, model = F.col("_text"), F.col("_words"), F.col("_model")
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    read = read.select("*", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"), ratios(docs, buckets).scalar().alias("_model"))
+    read = read.select("*", words_of(text).alias("_words"), ratios(docs, buckets).scalar().alias("_model"))
     score = _let(grams(text), lambda c: F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(model, cell(x, buckets))) / F.size(c)))
     out = read.select(
         "doc_id",
         F.size(words).cast("bigint").alias("n_words"),
-        F.length(F.translate(text, ASCII_SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         _dup_lines(text).cast("bigint").alias("n_dup_lines"),
         repeated_words(words).cast("bigint").alias("n_repeat_words"),
         score.alias("score"),
