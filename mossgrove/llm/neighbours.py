@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search over it.
 
-The graph starts from blocks: each of ``TREES`` times the vectors are ordered by the signs of random projections and
-then by one more, and every ``LEAF`` of them in that order are compared with each other. NN-descent then joins
-neighbours of neighbours: each vector gathers the vectors it is linked with, either way, compares them pair by
-pair and hands each the better neighbours it found; a bounded number of links the other way round, chosen by hash,
-keeps popular vectors from gathering unbounded groups. A query's search is greedy: of the best found so far, those
-not yet visited give their links, until none of the best is unvisited or ``ROUNDS`` are over. What is found is
-scored again from the original vectors in double precision.
+The graph starts poor, from blocks: each of ``TREES`` times the vectors are ordered by the signs of random projections and
+then by one more, and every ``LEAF`` of them in that order are compared with each other. NN-descent does the rest: each
+vector gathers the vectors it is linked with, either way, compares those pairs of which one link is new and hands each the
+better neighbours it found; a bounded number of links the other way round, chosen by hash, keeps popular vectors
+from gathering unbounded groups. A join takes one vector in ``SLICES`` as centres, which bounds what is in flight, and
+joins go on until the share of new links falls below ``DELTA``, at any size. A query's search is greedy: of the best found so
+far, those not yet visited give their links, until none of the best is unvisited. What is found is scored again from the
+original vectors in double precision.
 
 Equal vectors are one node of the graph, with the least ids that any query could need.
 """
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from mossgrove.llm.common import drop, prepare, store
 
 NEAREST = 5
-LINKS, BACK, TREES, LEAF, JOINS, HANDED = 24, 16, 16, 1024, 3, 6
-BEAM, WIDE, ROUNDS, ENTRIES = 192, 40, 6, 128
+LINKS, BACK, TREES, LEAF, HANDED, SLICES, DELTA = 40, 20, 4, 128, 5, 2, 0.04
+BEAM, WIDE, ENTRIES = 96, 24, 32
 SEED = 11
-_LISTS = "id bigint, ids array<bigint>, sims array<float>, fresh array<boolean>"
+#: Lists of neighbours; age is how many joins ago a link was found. Links younger than SLICES are new to some centres.
+_LISTS = "id bigint, ids array<bigint>, sims array<float>, ages array<int>"
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, pa.Array]]:
@@ -61,46 +63,57 @@ def _matrix(column: pa.Array, kind: str = "f2") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1).astype("f4") if n else np.zeros((0, 1), "f4")
 
 
+def _decoded(column: pa.Array) -> np.ndarray:
+    x = _matrix(column, "i1")
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+
+
 def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, kind))
 
 
 def valid(rows: DataFrame, id_: str, vector: str) -> DataFrame:
-    """id and v of vectors that take part: not null or zero, of finite components and the most common length."""
+    """id and v of vectors that take part: not null or zero and of finite components. Shorter ones are filled up with zeros."""
     v = F.col(vector)
     rows = rows.select(F.col(id_).cast("bigint").alias("id"), v.cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
     good = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(good)
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (size[0]["n"] if size else 0))
+    sizes = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if sizes[0] == sizes[1]:
+        return rows
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(sizes[1]) - F.size("v"))))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def nodes(rows: DataFrame, most: int) -> DataFrame:
-    """A row for each distinct vector: id (its least), same (its ``most`` least ids), v and unit (half-precision bytes)."""
+    """A row for each distinct vector: id (its least), same (its ``most`` least ids), v, unit (half-precision bytes) and code (8 bits a component)."""
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("k") <= most)
     one = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("same")).select(F.element_at("same", 1).alias("id"), "same", "v")
 
     def unit(batches):
         for b in batches:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300) if len(x) else x
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f2")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=[*b.schema.names, "unit"])
+            x = _units(flat.reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1)))
+            codes = np.rint(127 * x / np.abs(x).max(1, keepdims=True)).astype("i1") if len(x) else x.astype("i1")
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r.tobytes() for r in y], pa.binary()) for y in (x.astype("f2"), codes))], names=[*b.schema.names, "unit", "code"])
 
-    return one.mapInArrow(unit, "id bigint, same array<bigint>, v array<double>, unit binary")
+    return one.mapInArrow(unit, "id bigint, same array<bigint>, v array<double>, unit binary, code binary")
 
 
 def _best(lists: DataFrame, links: int) -> DataFrame:
-    """Of each id's lists the ``links`` best neighbours; fresh are those that no older list has."""
+    """Of each id's lists the ``links`` best neighbours; one that is named twice keeps its greater age."""
 
     def run(batches):
         for c in groups(batches, "id"):
             row, ids = _flat(c["ids"])
             _, sims = _flat(c["sims"])
-            _, fresh = _flat(c["fresh"])
+            _, ages = _flat(c["ages"])
             own = c["id"].to_numpy(zero_copy_only=False)[row]
-            o = np.lexsort((fresh, ids, own))  # of a neighbour named twice the older one
+            o = np.lexsort((-ages, ids, own))
             once = np.ones(len(o), bool)
             once[1:] = (own[o][1:] != own[o][:-1]) | (ids[o][1:] != ids[o][:-1])
             o = o[once & (own[o] != ids[o])]
@@ -109,7 +122,7 @@ def _best(lists: DataFrame, links: int) -> DataFrame:
             place = np.arange(len(o)) - np.repeat(begins, np.diff(np.append(begins, len(o))))
             o = o[place < links]
             who, n = np.unique(own[o], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), _lists(n, ids[o], pa.int64()), _lists(n, sims[o], pa.float32()), _lists(n, fresh[o].astype(bool), pa.bool_())], names=["id", "ids", "sims", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), _lists(n, ids[o], pa.int64()), _lists(n, sims[o], pa.float32()), _lists(n, ages[o], pa.int32())], names=["id", "ids", "sims", "ages"])
 
     return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, _LISTS)
 
@@ -121,14 +134,14 @@ def _blocks(units: DataFrame, count: int, width: int, links: int, trees: int, le
 
     def keys(batches):
         for b in batches:
-            x = _matrix(b.column("unit"))
+            x = _decoded(b.column("code"))
             for t in range(trees):
                 y = x @ planes[t].T if len(x) else np.zeros((0, depth + 1), "f4")
                 bits = (y[:, :depth] > 0) @ (1 << np.arange(depth, dtype="i8")) if depth else np.zeros(len(x), "i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, "i4")), pa.array(bits.astype("i8")), pa.array(y[:, -1].astype("f4")), b.column("id"), b.column("unit")], names=["tree", "bits", "along", "id", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, "i4")), pa.array(bits.astype("i8")), pa.array(y[:, -1].astype("f4")), b.column("id"), b.column("code")], names=["tree", "bits", "along", "id", "code"])
 
     order = ["tree", "bits", "along", "id"]
-    ordered = units.select("id", "unit").mapInArrow(keys, "tree int, bits bigint, along float, id bigint, unit binary").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = units.select("id", "code").mapInArrow(keys, "tree int, bits bigint, along float, id bigint, code binary").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         s = x @ x.T
@@ -136,13 +149,13 @@ def _blocks(units: DataFrame, count: int, width: int, links: int, trees: int, le
         k = min(links, len(ids) - 1)
         top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), "i8")
         n = np.full(len(ids), k)
-        return pa.RecordBatch.from_arrays([pa.array(ids), _lists(n, ids[top].ravel(), pa.int64()), _lists(n, np.take_along_axis(s, top, 1).ravel(), pa.float32()), _lists(n, np.ones(n.sum(), bool), pa.bool_())], names=["id", "ids", "sims", "fresh"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), _lists(n, ids[top].ravel(), pa.int64()), _lists(n, np.take_along_axis(s, top, 1).ravel(), pa.float32()), _lists(n, np.zeros(n.sum(), "i4"), pa.int32())], names=["id", "ids", "sims", "ages"])
 
     def run(batches):
         ids, x = np.zeros(0, "i8"), None
         for b in batches:
             ids = np.concatenate([ids, b.column("id").to_numpy()])
-            x = _matrix(b.column("unit")) if x is None or not len(x) else np.concatenate([x, _matrix(b.column("unit"))])
+            x = _decoded(b.column("code")) if x is None or not len(x) else np.concatenate([x, _decoded(b.column("code"))])
             while len(ids) >= 2 * leaf:
                 yield compare(ids[:leaf], x[:leaf])
                 ids, x = ids[leaf:], x[leaf:]
@@ -157,18 +170,23 @@ def _some(rows: DataFrame, key: str, most: int, *by: Column | str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("_k") <= most).drop("_k")
 
 
-def _around(graph: DataFrame, back: int, turn: int) -> DataFrame:
-    """key, member, fresh: each node's neighbours, and at most ``back`` of the nodes that have it as one."""
-    ahead = graph.select(F.col("id").alias("key"), F.explode(F.arrays_zip("ids", "fresh")).alias("x")).select("key", F.col("x.ids").alias("member"), F.col("x.fresh").alias("fresh"))
-    behind = ahead.select(F.col("member").alias("key"), F.col("key").alias("member"), "fresh")
-    return ahead.unionByName(_some(behind, "key", back, F.desc("fresh"), F.xxhash64("key", "member", F.lit(turn))))
+def _around(graph: DataFrame, back: int, turn: int, slices: int = 1) -> DataFrame:
+    """key, member, fresh: each node's neighbours, and at most ``back`` of the nodes that have it as one.
+
+    Nodes are those whose hash falls to this turn's slice; fresh links are those no turn of that slice has seen.
+    """
+    mine = F.pmod(F.xxhash64("key"), F.lit(slices)) == turn % slices
+    pair = F.explode(F.arrays_zip("ids", F.transform("ages", lambda a: a < slices).alias("fresh")))
+    every = graph.select(F.col("id").alias("key"), pair.alias("x")).select("key", F.col("x.ids").alias("member"), F.col("x.fresh").alias("fresh"))
+    behind = every.select(F.col("member").alias("key"), F.col("key").alias("member"), "fresh").where(mine)
+    return every.where(mine).unionByName(_some(behind, "key", back, F.desc("fresh"), F.xxhash64("key", "member", F.lit(turn))))
 
 
-def _descend(graph: DataFrame, units: DataFrame, links: int, back: int, handed: int, turn: int) -> DataFrame:
-    """One join of neighbours of neighbours: the lists that the vectors linked with each node hand each other."""
+def _descend(graph: DataFrame, units: DataFrame, links: int, back: int, handed: int, slices: int, turn: int) -> DataFrame:
+    """One join of neighbours of neighbours: the lists that the vectors linked with each centre hand each other."""
     floor = graph.select(F.col("id").alias("member"), F.when(F.size("sims") >= links, F.array_min("sims")).otherwise(F.lit(-9.0).cast("float")).alias("floor"))
-    known = units.select(F.col("id").alias("member"), "unit").join(floor, "member")
-    met = _around(graph, back, turn).join(known, "member").select("key", "member", "fresh", "floor", "unit")
+    known = units.select(F.col("id").alias("member"), "code").join(floor, "member")
+    met = _around(graph, back, turn, slices).join(known, "member").select("key", "member", "fresh", "floor", "code")
     wide = links + back
 
     def run(batches):
@@ -179,10 +197,9 @@ def _descend(graph: DataFrame, units: DataFrame, links: int, back: int, handed:
             sizes = np.diff(np.append(begins, len(key)))
             group = np.repeat(np.arange(len(begins)), sizes)
             place = np.arange(len(key)) - begins[group]
-            ok = place < wide
-            x = _matrix(c["unit"])
+            x = _decoded(c["code"])
             for lo in range(0, len(begins), 256):
-                at = np.flatnonzero((group >= lo) & (group < lo + 256) & ok) if len(begins) > 256 else np.flatnonzero(ok)
+                at = slice(begins[lo], begins[lo + 256] if lo + 256 < len(begins) else len(key))
                 g, p, n = group[at] - lo, place[at], min(256, len(begins) - lo)
                 cube = np.zeros((n, wide, x.shape[1]), "f4")
                 who, new, low, live = np.zeros((n, wide), "i8"), np.zeros((n, wide), bool), np.full((n, wide), 9.0, "f4"), np.zeros((n, wide), bool)
@@ -195,30 +212,40 @@ def _descend(graph: DataFrame, units: DataFrame, links: int, back: int, handed:
                 good = sims > -9
                 n = good.sum(2)
                 rows = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(who[rows]), _lists(n[rows], ids[good], pa.int64()), _lists(n[rows], sims[good], pa.float32()), _lists(n[rows], np.ones(good.sum(), bool), pa.bool_())], names=["id", "ids", "sims", "fresh"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[rows]), _lists(n[rows], ids[good], pa.int64()), _lists(n[rows], sims[good], pa.float32()), _lists(n[rows], np.zeros(good.sum(), "i4"), pa.int32())], names=["id", "ids", "sims", "ages"])
 
     found = met.repartition("key").sortWithinPartitions("key").mapInArrow(run, _LISTS)
-    return _best(graph.select("id", "ids", "sims", F.transform("ids", lambda _: F.lit(False)).alias("fresh")).unionByName(found), links)
+    older = F.transform("ages", lambda a: F.least(a + 1, F.lit(slices)))
+    return _best(graph.select("id", "ids", "sims", older.alias("ages")).unionByName(found), links)
 
 
-def build(units: DataFrame, links: int = LINKS, back: int = BACK, trees: int = TREES, leaf: int = LEAF, joins: int = JOINS, handed: int = HANDED) -> DataFrame:
-    """The neighbour graph of ``units`` (id, unit): a row of _LISTS for each id that has a neighbour."""
+def build(units: DataFrame, links: int = LINKS, back: int = BACK, trees: int = TREES, leaf: int = LEAF, handed: int = HANDED, slices: int = SLICES, delta: float = DELTA) -> DataFrame:
+    """The neighbour graph of ``units`` (id, code): a row of _LISTS for each id that has a neighbour.
+
+    Joins end when of all links those found in the last ``slices`` turns are a share of ``delta`` or less. Each
+    turn only betters lists, so the share falls to nothing.
+    """
     count = units.count()
-    one = units.select("unit").take(1)
-    graph = store(_best(_blocks(units, count, len(one[0]["unit"]) // 2 if one else 1, links, trees, leaf), links), "graph")
-    for turn in range(joins if count > leaf else 0):
-        then = store(_descend(graph, units, links, back, handed, turn), "graph")
+    one = units.select("code").take(1)
+    graph = store(_best(_blocks(units, count, len(one[0]["code"]) if one else 1, links, trees, leaf), links), "graph")
+    turn, shares = 0, [1.0]
+    while sum(shares[-slices:]) > delta:
+        then = store(_descend(graph, units, links, back, handed, slices, turn), "graph")
         drop(graph)
-        graph = then
+        graph, turn = then, turn + 1
+        new, all_ = graph.agg(F.sum(F.size(F.filter("ages", lambda a: a == 0))), F.sum(F.size("ages"))).first()
+        shares = [*([1.0] * slices if turn == 1 else shares), new / all_ if all_ else 0.0][-slices:]
     return graph
 
 
-def search(graph: DataFrame, units: DataFrame, queries: DataFrame, beam: int = BEAM, wide: int = WIDE, rounds: int = ROUNDS, entries: int = ENTRIES, back: int = BACK) -> DataFrame:
+def search(graph: DataFrame, units: DataFrame, queries: DataFrame, beam: int = BEAM, wide: int = WIDE, entries: int = ENTRIES, back: int = BACK) -> DataFrame:
     """query and ids, the nodes found nearest to each row of ``queries`` (query, unit, node or null), best first.
 
-    ``entries`` nodes, the least by a hash, are where searches start, beside a query's own node if it has one.
+    ``entries`` nodes, the least by a hash, are where searches start, beside a query's own node if it has one. In a
+    round a query is one row, and what it asks for is gathered by query before it meets that row. Rounds end
+    when no query has an unvisited node among its ``beam`` best; a node is visited once, so they do end.
     """
-    links = store(_around(graph, 2 * back, -1).groupBy("key").agg(F.collect_set("member").alias("to")).withColumnRenamed("key", "node"), "links")
+    links = store(_around(graph, 2 * back, 0).groupBy("key").agg(F.collect_set("member").alias("to")).withColumnRenamed("key", "node"), "links")
     start = units.orderBy(F.xxhash64("id"), "id").limit(entries).collect()  # bounded: `entries` vectors
     start_ids = np.array([r["id"] for r in start], "i8")
     start_units = np.frombuffer(b"".join(r["unit"] for r in start), "f2").reshape(len(start), -1).astype("f4") if start else np.zeros((0, 1), "f4")
@@ -245,59 +272,58 @@ def search(graph: DataFrame, units: DataFrame, queries: DataFrame, beam: int = B
         for c in groups(batches, "query"):
             query = c["query"].to_numpy()
             begins = np.append(np.flatnonzero(np.append(True, query[1:] != query[:-1])), len(query))
-            near, there = c["near"], c["found"].is_valid().to_numpy(zero_copy_only=False)
-            known, has = c["found"].fill_null(0).to_numpy(zero_copy_only=False), np.flatnonzero(there)
+            known = c["found"].to_numpy(zero_copy_only=False)  # nan in a query's own row, which is its first
+            has = np.flatnonzero(c["found"].is_valid().to_numpy(zero_copy_only=False))
+            some = _matrix(c["near"].take(pa.array(has)))
+            x = np.zeros((len(known), some.shape[1]), "f4")
+            x[has] = some
             out = {k: [] for k in names}
-            x = np.zeros((len(known), 0), "f4")
-            if len(has):
-                some = _matrix(near.take(pa.array(has)))
-                x = np.zeros((len(known), some.shape[1]), "f4")
-                x[has] = some
             for s, e in zip(begins[:-1], begins[1:]):
                 q = np.frombuffer(c["unit"][s].as_py(), "f2").astype("f4")
                 ids, sims, open_, seen = (np.array(c[k][s].as_py()) for k in names[2:])
-                ids, seen = ids.astype("i8"), seen.astype("i8")
-                closing = np.flatnonzero(open_.astype(bool))[:wide]
+                ids, seen, own = ids.astype("i8"), seen.astype("i8"), known[s + 1 : e].astype("i8")
                 open_ = open_.astype(bool)
-                open_[closing] = False
-                own = np.arange(s, e)[there[s:e]]
-                ids = np.concatenate([ids, known[own]])
-                sims = np.concatenate([sims.astype("f4"), x[own] @ q if len(own) else np.zeros(0, "f4")])
+                open_[np.flatnonzero(open_)[:wide]] = False
+                ids = np.concatenate([ids, own])
+                sims = np.concatenate([sims.astype("f4"), x[s + 1 : e] @ q if len(own) else np.zeros(0, "f4")])
                 open_ = np.concatenate([open_, np.ones(len(own), bool)])
                 o = np.lexsort((ids, -sims))[:beam]
-                for k, v in zip(names, (int(query[s]), c["unit"][s].as_py(), ids[o].tolist(), sims[o].tolist(), open_[o].tolist(), np.concatenate([seen, known[own]]).tolist())):
+                for k, v in zip(names, (int(query[s]), c["unit"][s].as_py(), ids[o].tolist(), sims[o].tolist(), open_[o].tolist(), np.concatenate([seen, own]).tolist())):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["query"], pa.int64()), pa.array(out["unit"], pa.binary()), *(pa.array(out[k], pa.list_(t)) for k, t in zip(names[2:], (pa.int64(), pa.float32(), pa.bool_(), pa.int64())))], names=names)
 
     state = store(queries.select("query", "unit", "node").mapInArrow(begin, schema), "beam")
-    for _ in range(rounds):
+    while True:
         ahead = F.slice(F.filter(F.arrays_zip("ids", "open"), lambda x: x["open"]), 1, wide)
         asked = state.select("query", F.explode(ahead).alias("x")).select("query", F.col("x.ids").alias("node"))
         if not asked.take(1):
             break
-        to = asked.join(links, "node").select("query", F.explode("to").alias("found")).distinct()
-        to = to.join(state.select("query", F.explode("seen").alias("found")), ["query", "found"], "left_anti")
-        near = to.join(units.select(F.col("id").alias("found"), F.col("unit").alias("near")), "found")
-        then = store(state.join(near, "query", "left").select(*names, "found", "near").repartition("query").sortWithinPartitions("query").mapInArrow(step, schema), "beam")
+        met = asked.join(links, "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))  # of at most `wide` nodes
+        new = state.select("query", "seen").join(met, "query").select("query", F.explode(F.array_except("to", "seen")).alias("found"))
+        near = new.join(units.select(F.col("id").alias("found"), F.col("unit").alias("near")), "found").select("query", "found", "near")
+        rows = state.unionByName(near, allowMissingColumns=True).repartition("query").sortWithinPartitions("query", F.col("found").asc_nulls_first())
+        then = store(rows.select(*names, "found", "near").mapInArrow(step, schema), "beam")
         drop(state)
         state = then
+    drop(links)
     return state.select("query", "ids")
 
 
-def nearest(rows: DataFrame, every: int = 50, most: int = NEAREST, id_: str = "vec_id", vector: str = "embedding", **tuning) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 50, most: int = NEAREST, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its ``most`` nearest others.
 
     Nearness is the cosine in double precision of the original vectors; ties go to the smaller id. Vectors that are
-    null, zero, of another length than most, or that hold null or non-finite components, take no part, as do rows
-    with a null id. A repeated id counts once for each distinct vector it has. With fewer other vectors a query has fewer rows.
+    null, zero (or without components), or that hold null or non-finite components, take no part, as do rows
+    with a null id. Of vectors of different lengths the shorter counts as filled up with zeros. A repeated id counts once for each distinct vector it has. With fewer other vectors a query has fewer rows.
     """
     spark = prepare(rows.sparkSession)
     good = valid(rows, id_, vector).distinct()
     every_node = store(nodes(good, most + 1), "nodes")
-    units = every_node.select("id", "unit")
+    units = every_node.select("id", "unit", "code")
     graph = build(units)
     asking = store(good.where(F.col("id") % every == 0).join(every_node.select(F.col("id").alias("node"), "v", "unit"), "v").select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("query_id"), "node", "v", "unit"), "queries")
     found = search(graph, units, asking)
+    drop(graph)
     pairs = found.select("query", F.explode("ids").alias("id")).join(every_node.select("id", "same", F.col("v").alias("w")), "id")
     pairs = pairs.join(asking.select("query", "query_id", "v"), "query")
 
