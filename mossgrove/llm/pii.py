@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossgrove.llm.common import map_batches, texts_of, with_text
-from mossgrove.llm.spans import Span, digest, free, joined
+from mossgrove.llm.spans import Span, beyond, digest, free, joined
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -180,7 +180,7 @@ def disguised(text: str, found: list[Span]) -> list[Span]:
         return []
     spans = [(k, *t.span(s, e), t.text[s:e]) for k, s, e in base(t.text)]
     more = free([(k, s, e) for k, s, e, x in spans if text[s:e] != x], [])
-    return [x for x in more if not any(s <= x[1] and x[2] <= e for _, s, e in found)]
+    return beyond(more, found)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

@@ -3,8 +3,8 @@
 A candidate is a run of 20 or more characters of keys and encodings. A window moves over it; the counts of
 the characters in it, and the sum of ``c * log2(c)`` over them, are kept up to date as one character enters and one
 leaves, so a step costs the same for any window. Where the entropy reaches the threshold of the window's
-character class the window is a secret; such windows that touch are one span. What the allow-list knows
-(identifiers, digests named as such, placeholders) is left out.
+character class the window is a secret; such windows that touch are one span. Windows that touch what the
+allow-list knows (identifiers, digests named as such, placeholders) are left out.
 """
 
 from __future__ import annotations
@@ -25,13 +25,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of [0-9a-f]+ fails if it has fewer
 NAMES = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Bits a character, by class of the window's characters. Digits alone are never a secret.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.65, "base64": 3.75}
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i).*(?:example|sample|placeholder|dummy|changeme|xxxx|1234567890)"),
-    re.compile(r"(?i)(?:md5|sha1|sha256|sha512)[-_=].*"),
-    re.compile(r"(.)\1*"),
+#: Bits a character, by class of the window's characters. Digits alone are never a secret, nor are letters of one case.
+THRESHOLDS = {"hex": 3.0, "lower": 3.7, "upper": 3.7, "letters": 3.9, "alnum": 3.65, "base64": 3.75}
+#: A window that touches one of these isn't a secret: identifiers, digests named as such, placeholders.
+ALLOWED = re.compile(
+    r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
+    r"|(?i:(?<![a-z])(?:md5|sha1|sha256|sha512)[-_=][a-z0-9+/=]*|example|sample|placeholder|dummy|changeme|xxxx|1234567890)"
 )
 _C = [0.0] + [c * log2(c) for c in range(1, 257)]
 
@@ -49,21 +48,32 @@ def base(text: str) -> list[Span]:
 
 
 def _class(lower: int, upper: int, digit: int, hexa: int, size: int) -> str | None:
-    """From the counts in a window of lower-case, upper-case, digit and hexadecimal characters."""
-    if not digit or digit == size:
+    """From the counts in a window of lower-case, upper-case, digit and hexadecimal characters.
+
+    Letters without a digit need both cases in fair shares, so that CamelCase isn't one; keys of one case need digits
+    among a fifth of their characters, so that names with a number at their end aren't.
+    """
+    if digit == size:
         return None
+    if not digit:
+        return "letters" if lower + upper == size and 3 * min(lower, upper) >= size else None
     if hexa == size and not (upper and lower):
         return "hex"
-    if not (lower and upper):
-        return None
-    return "alnum" if lower + upper + digit == size else "base64"
+    if lower + upper + digit == size:
+        return "alnum" if lower and upper else ("lower" if lower else "upper") if 5 * digit >= size else None
+    return "base64" if lower and upper else None
 
 
 def entropy_spans(run: str, at: int = 0, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[Span]:
-    """Spans of windows of a candidate whose entropy reaches their class's threshold; touching ones are joined."""
+    """Spans of windows of a candidate whose entropy reaches their class's threshold; touching ones are joined.
+
+    Windows that touch what is allowed don't count; the rest of the candidate is judged as ever.
+    """
     counts: dict[str, int] = {}
     weight, kinds = 0.0, [0, 0, 0, 0]  # lower, upper, digit, hexadecimal
     out: list[Span] = []
+    allowed = [m.span() for m in ALLOWED.finditer(run)] + [(len(run), len(run))]
+    next_ = 0
 
     def move(c: str, by: int) -> None:
         nonlocal weight
@@ -78,8 +88,11 @@ def entropy_spans(run: str, at: int = 0, window: int = WINDOW, thresholds: dict[
         move(c, 1)
         if i >= size:
             move(run[i - size], -1)
-        if i >= size - 1 and (k := _class(*kinds, size)) and log2(size) - weight / size >= thresholds[k] - 1e-9:
-            s, e = at + i - size + 1, at + i + 1
+        begin = i - size + 1
+        while allowed[next_][1] <= begin and next_ < len(allowed) - 1:
+            next_ += 1
+        if begin >= 0 and not (allowed[next_][0] <= i and allowed[next_][1] > begin) and (k := _class(*kinds, size)) and log2(size) - weight / size >= thresholds[k] - 1e-9:
+            s, e = at + begin, at + i + 1
             if out and out[-1][2] >= s:
                 out[-1] = ("entropy", out[-1][1], e)
             else:
@@ -94,7 +107,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         found = base(text) if any(x in low for x in NAMES) or "AKIA" in text else []
         return found, found
     found = base(text)
-    more = [s for m in CANDIDATE.finditer(text) if not any(a.fullmatch(m[0]) or a.match(m[0]) and a is ALLOWED[1] for a in ALLOWED) for s in entropy_spans(m[0], m.start())]
+    more = [s for m in CANDIDATE.finditer(text) for s in entropy_spans(m[0], m.start())]
     return found, sorted(found + free(more, found), key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mossgrove.llm import linktrust, pii, rules, secrets
-from mossgrove.llm.spans import digest
+from mossgrove.llm.spans import beyond, digest, free
 
 
 def plain_secrets(t):
@@ -61,9 +61,14 @@ def test_entropy_adds_and_allows():
     key = "wJalrXUtnFEMI7MDENGbPxRfiCYzK3T9qQ2"
     found, every = secrets.scan(f"see {key} here")
     assert not found and [k for k, _, _ in every] == ["entropy"]
-    for ok in ("123e4567-e89b-12d3-a456-426614174000", "internationalisierungsbeauftragte", "EXAMPLEKEY" + key, "1234567890123456789012345", "sha256-" + key):
+    for ok in ("123e4567-e89b-12d3-a456-426614174000", "internationalisierungsbeauftragte", "AnnualReportOfTheBoardOfDirectors", "department0000000000000012", "1234567890123456789012345", "sha256-" + key, "example" * 6):
         assert not secrets.scan(f"see {ok} here")[1], ok
     assert [k for k, _, _ in secrets.scan(f"token = {key}")[1]] == ["assign"]
+    for one_case in ("k3v9q0z7m2x8b5n1c6w4", "JBSWY3DPEHPK3PXP2QR7T5UV", "qWzRtYpLmNbVcXzAsDfGhJkLQe"):
+        assert [k for k, _, _ in secrets.scan(f"see {one_case} here")[1]] == ["entropy"], one_case
+    for before in ("config/sample/", "example_id=", "EXAMPLEKEY", "xxxx-"):
+        found = secrets.scan(f"see {before}{key} here")[1]
+        assert found and all(s >= 4 + 4 and e == 4 + len(before + key) for _, s, e in found), before
 
 
 @pytest.mark.parametrize(
@@ -137,6 +142,63 @@ def test_long_texts_are_linear():
         assert pii.scan(t[:200_000]) is not None and secrets.scan(t) is not None
 
 
+@pytest.mark.parametrize("size", [1 << 20, 4 << 20])
+def test_many_spans_are_linear(size):
+    """Time for each of two sizes is bounded by the size: nothing compares spans with spans."""
+    for unit in ("token=abcdefgh1 ", "a@b.co ", "jane [at] site [dot] org b@c.de ", "aB3xYz9Qk+/ AKIAB2C3D4E5F6G7 " + "f0" * 16 + " wJalrXUtnFEMI7MDENGbPxRfi "):
+        t = unit * (size // len(unit))
+        began = time.monotonic()
+        secrets.scan(t)
+        pii.scan(t)
+        assert time.monotonic() - began < 30 * size / (1 << 20), unit
+
+
+def plain_free(spans, taken):
+    out = []
+    for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if not any(s < b and a < e for _, a, b in taken) and not any(k == x[0] and s < x[2] and x[1] < e for x in out):
+            out.append((k, s, e))
+    return out
+
+
+def test_free_spans_match_brute_force():
+    random.seed(3)
+    for _ in range(2000):
+        some = lambda n: [(random.choice("ab"), s := random.randrange(40), s + random.randrange(1, 9)) for _ in range(random.randrange(n))]
+        spans, taken = some(12), some(6)
+        assert free(spans, taken) == plain_free(spans, taken)
+        assert beyond(spans, taken) == [x for x in spans if not any(s <= x[1] and x[2] <= e for _, s, e in taken)]
+
+
+def test_generated_disguises_map_back():
+    """Identifiers are disguised in each way and place by chance; each is found at the characters it took."""
+    random.seed(8)
+    words = "zero one two three four five six seven eight nine".split()
+    looks = {"a": "а", "o": "о", "e": "е", "c": "с", "p": "р"}
+    filler = ["We wrote to", "Später rief", "tout le monde", "llame a", "x y z"]
+    for k in range(600):
+        kind = random.choice(["email", "card", "phone", "ip"])
+        if kind == "email":
+            name, host = random.choice(["john", "jane.roe", "peter_pan"]), random.choice(["example.com", "mail.site.org", "firma.de"])
+            how = random.randrange(3)
+            at, dot = ((" [at] ", " [dot] "), (" at ", " dot "), ("@", "."))[how]
+            told = name.replace(".", dot) + at + host.replace(".", dot)
+            if how == 2:
+                told = "".join(looks.get(c, c) for c in told)
+        elif kind == "ip":
+            told = " dot ".join(str(random.randrange(256)) for _ in range(4))
+        else:
+            digits = "4111111111111111" if kind == "card" else "4930" + "".join(random.choice("0123456789") for _ in range(7))
+            spelled = random.randrange(1, len(digits))
+            told = " ".join(words[int(d)] if i < spelled else d for i, d in enumerate(digits))
+            told = ("plus " if kind == "phone" else "") + told
+        before, after = random.choice(filler) + ": ", "; " + random.choice(filler)
+        text = before + told + after
+        every = pii.scan(text)[1]
+        assert (kind, len(before), len(before) + len(told)) in every, text
+        assert pii.masked(text) == f"{before}<{kind.upper()}>{after}", text
+
+
 def test_scans_of_odd_rows(odd, odd_rows, empty):
     for find in (pii.find, secrets.find):
         rows = find(odd).collect()
