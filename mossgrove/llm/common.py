@@ -78,6 +78,17 @@ def counted(small: DataFrame) -> DataFrame:
     return F.broadcast(kept) if kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else kept
 
 
+#: Over so many tasks the rows of one key are dealt where a key may hold a large part of all rows.
+SALTS = 8
+
+
+def salted(many: DataFrame, one: DataFrame, key: list[str], by: str) -> DataFrame:
+    """The inner join of ``many`` with ``one``, which has a row a key; a key's rows in ``many`` are dealt out by ``by``."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*key, "_salt"]).drop("_salt")
+
+
 def with_text(docs: DataFrame, column: str, change: Callable[[], Callable[[pa.Array], tuple[pa.Array, pa.Array | None]]]) -> DataFrame:
     """``docs`` with all its columns, ``column`` changed and rows filtered by what ``change()`` gives for a batch."""
     prepare(docs.sparkSession)

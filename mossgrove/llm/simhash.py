@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import counted, drop, map_batches, prepare, store
+from mossgrove.llm.common import counted, drop, map_batches, prepare, salted, store
 
 SEED = 42
 SHINGLE = 4
@@ -151,15 +151,15 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for each node of ``edges`` (a, b).
 
     Large-star and small-star in turn until the edges no longer change. A minimum is gathered by partial
-    aggregation, so a hub is never gathered in one task, and each round is written to the shared folder.
+    aggregation, a hub's edges meet it dealt out over several tasks, and each round is written to the shared folder.
     """
     now, last = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = store(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = store(salted(both, least, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = salted(large, least, ["a"], "b")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         then = store(small, "small")
         drop(large)
@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = components(links(nodes.select("fp"), radius, tile))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(ids, "root").select(F.col("fp").alias("of"), "component_id")
+    of = salted(rooted, ids, ["root"], "fp").select("fp", "component_id")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(of, rows["fp"] == of["of"]).select("doc_id", hex16.alias("fingerprint"), "component_id")
+    return salted(rows, of, ["fp"], "doc_id").select("doc_id", hex16.alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
