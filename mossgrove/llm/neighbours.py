@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import drop, prepare, store
+from mossgrove.llm.common import drop, prepare, salted, store
 
 NEAREST = 5
 LINKS, BACK, TREES, LEAF, HANDED, SLICES, DELTA = 40, 20, 4, 128, 5, 2, 0.04
@@ -316,25 +316,31 @@ def nearest(rows: DataFrame, every: int = 50, most: int = NEAREST, id_: str = "v
     null, zero (or without components), or that hold null or non-finite components, take no part, as do rows
     with a null id. Of vectors of different lengths the shorter counts as filled up with zeros. A repeated id counts once for each distinct vector it has. With fewer other vectors a query has fewer rows.
     """
-    spark = prepare(rows.sparkSession)
+    prepare(rows.sparkSession)
     good = valid(rows, id_, vector).distinct()
     every_node = store(nodes(good, most + 1), "nodes")
     units = every_node.select("id", "unit", "code")
     graph = build(units)
-    asking = store(good.where(F.col("id") % every == 0).join(every_node.select(F.col("id").alias("node"), "v", "unit"), "v").select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("query_id"), "node", "v", "unit"), "queries")
-    found = search(graph, units, asking)
+    # queries of one vector are one search; they find its node by 128 bits of hash, dealt out should they be many
+    digest = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
+    asked = good.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), *digest)
+    of = store(salted(asked, every_node.select(F.col("id").alias("query"), *digest), ["h", "g"], "query_id").select("query_id", "query"), "queries")
+    asking = every_node.join(of.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
+    found = search(graph, units, asking.select(F.col("id").alias("query"), "unit", F.col("id").alias("node")))
     drop(graph)
     pairs = found.select("query", F.explode("ids").alias("id")).join(every_node.select("id", "same", F.col("v").alias("w")), "id")
-    pairs = pairs.join(asking.select("query", "query_id", "v"), "query")
+    pairs = pairs.join(asking.select(F.col("id").alias("query"), "v"), "query")
 
     def score(batches):
         for b in batches:
             n = b.num_rows
             v, w = (b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1)) for k in ("v", "w"))
             s = (v * w).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((w * w).sum(1)))
-            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("query_id"), b.column("same"), pa.array(s)], names=["query", "query_id", "same", "score"])
-
-    scored = pairs.select("query", "query_id", "same", "v", "w").mapInArrow(score, "query bigint, query_id bigint, same array<bigint>, score double")
-    each = scored.select("query", "query_id", F.explode("same").alias("vec_id"), "score").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("same"), pa.array(s)], names=["query", "same", "score"])
+
+    scored = pairs.select("query", "same", "v", "w").mapInArrow(score, "query bigint, same array<bigint>, score double")
+    each = scored.select("query", F.explode("same").alias("vec_id"), "score").distinct()
+    best = each.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("best"))  # of at most `beam` nodes
+    own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, most)
+    top = salted(of, best.select("query", F.slice("best", 1, most + 1).alias("best")), ["query"], "query_id").select("query_id", F.posexplode(own).alias("at", "x"))
+    return top.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
