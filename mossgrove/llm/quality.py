@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
         return lambda batch: {"doc_id": batch["doc_id"], "label": batch["label"], "x": [statistics(t) for t in texts_of(batch["text"])]}
 
     learned = map_batches(rows.select("doc_id", "label", "text"), make, "doc_id bigint, label int, x array<double>")
-    learned = sorted((r["doc_id"], r["label"], r["x"]) for r in learned.limit(2 * most).collect())
+    learned = sorted((r["doc_id"], r["label"], r["x"]) for r in learned.orderBy("doc_id", "label", "x").limit(2 * most).collect())
     return fit(np.array([r[2] for r in learned], "f8").reshape(-1, len(FEATURES)), np.array([r[1] for r in learned], "f8"))
 
 
