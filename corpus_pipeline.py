@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrove.llm import mixing, packing, pii, quality, simhash
-from mossgrove.llm.common import prepare, read, store
+from mossgrove.llm.common import drop, prepare, read, store
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over whole `documents`; each stage's result is written and read again."""
+    """All stages over whole `documents`; each stage's result is written and read again, and dropped once the next is written."""
     docs = read(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        then = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(docs)
+        docs = then
     return STAGES[-1][1](spark, docs, sf_dir)
