@@ -9,6 +9,9 @@ from mossgrove.model import ACTIONS, JUDGMENT
 
 VERBS = ("REVISE", "LINK", "TASK", "CREATE")
 
+# Fixed value: the reason that a verdict gives if the reply could not be read
+UNREADABLE = "Could not parse structured response."
+
 
 def routing_actions(raw: Column) -> Column:
     """Valid actions of the array from the first ``[`` to the last ``]``; none if that isn't JSON."""
@@ -27,7 +30,7 @@ def judgment(raw: Column) -> Column:
     good = F.try_parse_json(text).isNotNull()
     pick = lambda k, d: F.coalesce(found[k], F.lit(d))
     read = F.struct(pick("seeing", "").alias("seeing"), pick("verdict", "KEEP").alias("verdict"), pick("direction", "").alias("direction"), pick("reason", "").alias("reason"))
-    kept = F.struct(F.left(raw, F.lit(500)).alias("seeing"), F.lit("KEEP").alias("verdict"), F.lit("").alias("direction"), F.lit("Could not parse structured response.").alias("reason"))
+    kept = F.struct(F.left(raw, F.lit(500)).alias("seeing"), F.lit("KEEP").alias("verdict"), F.lit("").alias("direction"), F.lit(UNREADABLE).alias("reason"))
     return F.when(good & (text != ""), read).otherwise(kept)
 
 

@@ -16,7 +16,7 @@ from mossgrove.model import ACTIONS
 
 
 def judge_keep(parent: Column, child: Column) -> Column:
-    return F.struct(F.lit("Auto-keep: no evaluation performed.").alias("seeing"), F.lit("KEEP").alias("verdict"), F.lit("").alias("direction"), F.lit("Testing mode.").alias("reason"))
+    return F.struct(F.lit("The stand-in judge reads nothing.").alias("seeing"), F.lit("KEEP").alias("verdict"), F.lit("").alias("direction"), F.lit("stand-in").alias("reason"))
 
 
 def judge_revise(parent: Column, child: Column) -> Column:

@@ -15,6 +15,8 @@ from mossgrove.model import Params
 
 #: Directories that a stored index is partitioned into by term.
 PARTS = 64
+#: Over so many tasks a directory's postings are dealt by id, so that a frequent term isn't one task's.
+DEALT = 8
 LEAST_IDF = 1e-6
 
 
@@ -86,7 +88,7 @@ def term_stats(chunks: DataFrame) -> DataFrame:
 def write_index(chunks: DataFrame, path: str) -> None:
     """Stores postings by term under ``path``/postings and the corpus statistics under ``path``/stats."""
     part = F.pmod(F.xxhash64("term"), F.lit(PARTS))
-    postings(chunks).withColumn("part", part).repartition("part", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    postings(chunks).withColumn("part", part).repartition("part", F.pmod(F.xxhash64("id"), F.lit(DEALT))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     chunks.select(F.size(document_tokens(chunks)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
 
 

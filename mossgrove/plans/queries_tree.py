@@ -269,19 +269,19 @@ def summary_levels(spark, d):
 
 
 @query(f"""SELECT concat('notes/', strftime(ts, '%Y/%m-%d'), '.md') AS path, string_agg(concat('---', {_NL}, 'date: ', {_DAY}, {_NL}, 'time: ', strftime(ts, '%H:%M:%S'), ' UTC', {_NL}, 'branch: notes', CASE WHEN event_id % 2 = 0 THEN concat({_NL}, 'source: ', event_type) ELSE '' END, {_NL}, '---', {_NL}, {_NL}, '# ',
-  CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) ELSE concat('Entry ', strftime(ts, '%Y-%m-%d %H:%M')) END, {_NL}, trim(props), {_NL}), concat({_NL}, '---', {_NL}, {_NL}) ORDER BY ts, event_id) AS content FROM events WHERE event_id % 7 = 0 GROUP BY 1""")
+  CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) ELSE concat('Entry ', strftime(ts, '%Y-%m-%d %H:%M')) END, {_NL}, trim(props), {_NL}), concat({_NL}, '---', {_NL}, {_NL}) ORDER BY ts, event_id) AS content FROM events GROUP BY 1""")
 def entry_files(spark, d):
-    rows = table(spark, d, "events").where("event_id % 7 = 0").selectExpr("'notes' AS branch", "ts", "CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) END AS title", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS source_hint", "props AS content")
+    rows = table(spark, d, "events").selectExpr("'notes' AS branch", "ts", "CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) END AS title", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS source_hint", "props AS content")
     return sinks.day_files(sinks.entries(rows))
 
 
-@query(f"""WITH f AS (SELECT pos, path, left(text, 600) AS content FROM documents JOIN (VALUES (0, 'identity.md', 1), (1, 'mind/mind.md', 2), (4, 'mind/desires/desires.md', 5)) t(pos, path, k) ON doc_id = k),
+@query(f"""WITH f AS (SELECT pos, path, text AS content FROM documents JOIN (VALUES (0, 'identity.md', 1), (1, 'mind/mind.md', 2), (4, 'mind/desires/desires.md', 5)) t(pos, path, k) ON doc_id = k),
 x AS (SELECT count(*)::INT AS source_files, string_agg(concat('--- ', path, ' ---', {_NL}, content, {_NL}), {_NL} ORDER BY pos) AS s FROM f)
-SELECT source_files, CASE WHEN length(s) <= 700 THEN s WHEN contains(left(s, 700), {_NL}) THEN regexp_extract(left(s, 700), '(?s)^(.*\\n)', 1) ELSE left(s, 700) END AS content FROM x WHERE source_files > 0""")
+SELECT source_files, CASE WHEN length(s) <= 5000 THEN s WHEN contains(left(s, 5000), {_NL}) THEN regexp_extract(left(s, 5000), '(?s)^(.*\\n)', 1) ELSE left(s, 5000) END AS content FROM x WHERE source_files > 0""")
 def wake_briefing(spark, d):
     names = spark.createDataFrame([(1, "identity.md"), (2, "mind/mind.md"), (5, "mind/desires/desires.md"), (6, "other.md")], "doc_id bigint, path string")
-    rows = table(spark, d, "documents").join(F.broadcast(names), "doc_id").select("path", F.left("text", F.lit(600)).alias("content"))
-    return rollup.briefing(rows, Params(briefing_chars=700))
+    rows = table(spark, d, "documents").join(F.broadcast(names), "doc_id").select("path", F.col("text").alias("content"))
+    return rollup.briefing(rows, Params())
 
 
 __all__ = ["PATH"]

@@ -209,17 +209,17 @@ def routing_execute(spark, d):
 
 
 @query(f"""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN concat(regexp_replace(t, '\\s+$', ''), {_NL}, {_NL}, '## Related', {_NL}, {_NL}, '- [[', lang, '/x]]', {_NL}) WHEN 1 THEN concat(t, {_NL}, '## See also', {_NL}, '- [[', lang, '/x]]', {_NL}, 'end', {_NL}, '## Related', {_NL}, 'z') ELSE concat(t, '[[', lang, '/x]]') END AS content
-FROM (SELECT doc_id, lang, replace(left(text, 60), '#', '') AS t FROM documents)""")
+FROM (SELECT doc_id, lang, replace(text, '#', '') AS t FROM documents)""")
 def link_insert(spark, d):
-    t = "replace(left(text, 60), '#', '')"
+    t = "replace(text, '#', '')"
     rows = table(spark, d, "documents").selectExpr("doc_id AS id", "concat(lang, '/x.md') AS target", f"CASE doc_id % 3 WHEN 0 THEN {t} WHEN 1 THEN concat({t}, '\\n## See also\\nend\\n## Related\\nz') ELSE concat({t}, '[[', lang, '/x]]') END AS content")
     return rows.select("id", routing.insert_link(F.col("content"), F.col("target")).alias("content"))
 
 
 @query(f"""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN concat(regexp_replace(t, '\\s+$', ''), {_NL}, {_NL}, '## Tasks', {_NL}, {_NL}, '- [ ] call $1 \\ now', doc_id, ' (from [[', lang, '/s]])', {_NL}) WHEN 1 THEN concat(t, {_NL}, '## action items', {_NL}, '- [ ] call $1 \\ now', doc_id, ' (from [[', lang, '/s]])', {_NL}, 'end') ELSE concat(t, 'call $1 \\ now', doc_id) END AS content
-FROM (SELECT doc_id, lang, replace(left(text, 60), '#', '') AS t FROM documents)""")
+FROM (SELECT doc_id, lang, replace(text, '#', '') AS t FROM documents)""")
 def task_insert(spark, d):
-    t = F.replace(F.left("text", F.lit(60)), F.lit("#"), F.lit(""))
+    t = F.replace("text", F.lit("#"), F.lit(""))
     task = F.concat(F.lit("call $1 \\ now"), "doc_id")
     content = F.when(F.col("doc_id") % 3 == 0, t).when(F.col("doc_id") % 3 == 1, F.concat(t, F.lit("\n## action items\nend"))).otherwise(F.concat(t, task))
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), routing.insert_task(content, task, F.concat("lang", F.lit("/s.md"))).alias("content"))
@@ -283,10 +283,10 @@ def eval_cascade(spark, d):
     return out.select("total", "passed", F.round("avg_depth", 6).alias("avg_depth"), F.round("trunk_flag_rate", 6).alias("trunk_flag_rate"))
 
 
-@query("SELECT concat(event_type, '/', strftime(ts, '%Y-%m-%d'), '-', lpad(row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY event_id)::VARCHAR, greatest(3, length(row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY event_id)::VARCHAR))::INT, '0'), '.md.enc') AS path, props AS content FROM events WHERE event_id % 20 = 0")
+@query("SELECT concat(event_type, '/', strftime(ts, '%Y-%m-%d'), '-', lpad(row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY event_id)::VARCHAR, greatest(3, length(row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY event_id)::VARCHAR))::INT, '0'), '.md.enc') AS path, props AS content FROM events")
 def private_roundtrip(spark, d):
     vault = private.Vault(b"0123456789abcdef0123456789abcdef")
-    rows = table(spark, d, "events").where("event_id % 20 = 0").select(F.col("event_type").alias("entity"), F.to_date("ts").alias("day"), F.col("event_id").alias("pos"), F.col("props").alias("content"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("entity"), F.to_date("ts").alias("day"), F.col("event_id").alias("pos"), F.col("props").alias("content"))
     return vault.read(vault.write(rows), vault.consent("test")).select("path", "content")
 
 

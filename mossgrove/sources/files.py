@@ -34,9 +34,11 @@ def source_bundle(files: DataFrame, params: Params = Params()) -> DataFrame:
     ok = F.substring(suffix(F.col("source")), 2, 20).isin(*SOURCE_EXTENSIONS) & ~is_hidden(F.col("source")) & F.col("content").isNotNull()
     part = F.concat(F.lit("## "), "source", F.lit("\n\n"), "content")
     rows = files.where(ok).select("source", part.alias("part"))
-    # a directory handed in by a user is one bundle of bounded size, so one ordered window over its files' lengths
-    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy().orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("before", before).where(F.col("before") <= params.source_chars)
+    # each part has a heading, so only so many of the first can count: one ordered window over their lengths, and only theirs
+    first = rows.select("source", F.length("part").alias("n")).orderBy("source").limit(params.source_chars // len("## \n\n") + 2)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = first.withColumn("before", before).where(F.col("before") <= params.source_chars).select("source").distinct()
+    rows = rows.join(F.broadcast(within), "source", "left_semi")
     return rows.agg(F.sort_array(F.collect_list(F.struct("source", "part"))).alias("x")).where(F.size("x") > 0).select(F.size("x").alias("files"), F.array_join(F.transform("x", lambda e: e["part"]), "\n\n---\n\n").alias("content"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrove.functions.dates import entry_path
@@ -41,16 +41,38 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", *(F.coalesce(F.translate(c, "\t\n\r", "   "), F.lit("-")) for c in rows.columns)).alias("value")).write.mode("append").text(path)
 
 
+def _files(spark: SparkSession, path: str):
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new", f"{path}.old")]
+    return paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *paths
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back the table at ``path`` should a replacement have stopped between its two renames."""
+    fs, here, _, old = _files(spark, path)
+    if not fs.exists(here) and fs.exists(old) and not fs.rename(old, here):
+        raise OSError(f"can't put {path}.old back")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that replace_table() keeps."""
+    recover(spark, path)
+    return spark.read.parquet(path)
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside a table that ``rows`` may be read from, then takes its place."""
+    """Writes beside a table that ``rows`` may be read from, then takes its place.
+
+    The old table is moved aside, not deleted, until the new one is in its place; whenever that stops, one of the two is
+    whole and read_table() finds it.
+    """
     spark = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
+    recover(spark, path)
+    fs, here, new, old = _files(spark, path)
     rows.write.mode("overwrite").parquet(f"{path}.new")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(old, True)
-    fs.rename(new, old)
-
-
-def excerpt(text: Column, most: int) -> Column:
-    return F.left(text, F.lit(most))
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, here):
+        recover(spark, path)
+        raise OSError(f"can't move {path}.new to its place")
+    fs.delete(old, True)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrove.functions.paths import is_identity, is_leaf, is_watched
 from mossgrove.model import Params
 from mossgrove.operators import queue
-from mossgrove.sources.scratch import root
-from mossgrove.sources.sinks import replace_table
+from mossgrove.sources.scratch import drop, root, store
+from mossgrove.sources.sinks import read_table, replace_table
 
 
 def debounce(changes: DataFrame, gap: str = "2 seconds") -> DataFrame:
@@ -38,23 +39,47 @@ def tasks_of(changes: DataFrame, params: Params = Params(), system: str = ".syst
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """path and event_type between two scans (source, mtime); deletions, which a file stream can't see, included."""
     a, b = before.select(F.col("source").alias("path"), F.col("mtime").alias("old")), after.select(F.col("source").alias("path"), F.col("mtime").alias("new"))
-    kind: Column = F.when(F.col("old").isNull(), F.lit("created")).when(F.col("new").isNull(), F.lit("deleted")).when(F.col("new") > F.col("old"), F.lit("modified"))
+    kind: Column = F.when(F.col("old").isNull(), F.lit("created")).when(F.col("new").isNull(), F.lit("deleted")).when(F.col("new") != F.col("old"), F.lit("modified"))
     return a.join(b, "path", "full_outer").select("path", kind.alias("event_type")).where("event_type IS NOT NULL")
 
 
 def watch(spark: SparkSession, folder: str, handle, checkpoint: str, every: str = "2 seconds"):
-    """A running query over new files below ``folder``; ``handle(tasks, batch)`` gets each batch's tasks."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(folder)
-    changes = files.select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), F.lit("modified").alias("event_type"))
-    relative = changes.withColumn("path", F.replace("path", F.lit(folder.rstrip("/") + "/"), F.lit("")))
-    return relative.writeStream.foreachBatch(lambda df, n: handle(tasks_of(df), n)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    """A running query over changes below ``folder``; ``handle(tasks, batch)`` gets the tasks of each tick that saw any.
+
+    A file stream lists a path once, so edits and deletions are found by snapshots: each tick lists the folder and
+    compares with the listing before, which is replaced after ``handle`` has returned. A tick that fails is seen again.
+    """
+    seen = f"{checkpoint.rstrip('/')}/snapshot"
+
+    def tick(_: DataFrame, n: int) -> None:
+        now = store(snapshot(spark, folder), "snapshot")
+        try:
+            before = read_table(spark, seen)
+        except AnalysisException:  # the first tick
+            before = now.limit(0)
+        changes = store(snapshot_changes(before, now), "changes")
+        if changes.take(1):
+            handle(tasks_of(changes), n)
+            replace_table(now, seen)
+        drop(changes)
+        drop(now)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(tick).option("checkpointLocation", f"{checkpoint.rstrip('/')}/clock").trigger(processingTime=every).start()
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """source and mtime of the files below ``folder``, relative to it; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    plain = F.replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.lit(folder.rstrip("/") + "/"), F.lit(""))
+    return files.select(plain.alias("source"), F.col("modificationTime").alias("mtime"))
 
 
 def enqueue_batches(table: str):
     """A foreachBatch function that adds tasks to the queue at ``table``, deduplicated against what is pending there."""
 
     def run(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(table)
+        old = read_table(batch.sparkSession, table)
         replace_table(queue.enqueue(old, batch.withColumn("status", F.lit("pending")).select(*old.columns)), table)
 
     return run

@@ -1,4 +1,7 @@
+import os
 import random
+import time
+import zlib
 from datetime import datetime
 
 import pytest
@@ -9,6 +12,7 @@ from mossgrove.model import AUDIT, CHUNKS, Params
 from mossgrove.operators import bm25, cluster, evaluate, graph, hybrid, metrics, private, queue, rollup, routing, turns
 from mossgrove.plans import pipelines
 from mossgrove.sources import chunking, files, sinks
+from mossgrove.streaming import changes
 
 
 def one(spark, column):
@@ -241,3 +245,53 @@ def test_evaluation(spark):
     c = evaluate.search_cases(spark.createDataFrame([(["b", "a"], ["z"], ["x/a", "x/b"])], "expected array<string>, unwanted array<string>, sources array<string>"))
     assert (c.first().rr, c.first().passed) == (0.5, True)
     assert evaluate.search_metrics(c.limit(0)).first().mrr == 0
+
+
+def test_a_replacement_that_stops_is_recovered(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(sinks.read_table(spark, path).where("id > 0"), path)
+    assert sinks.read_table(spark, path).count() == 2
+    os.rename(path, path + ".old")  # as if it had stopped between the renames
+    assert sinks.read_table(spark, path).count() == 2
+    os.rename(path, path + ".old")
+    sinks.replace_table(spark.range(7), path)
+    assert sinks.read_table(spark, path).count() == 7 and not os.path.exists(path + ".old")
+
+
+def test_watching_sees_edits_and_deletions(spark, tmp_path):
+    folder = tmp_path / "tree"
+    (folder / "concepts").mkdir(parents=True)
+    got = []
+    q = changes.watch(spark, str(folder), lambda tasks, n: got.extend((r.path, r.event_type, r.type) for r in tasks.collect()), str(tmp_path / "check"), "200 milliseconds")
+
+    def wait(what):
+        end = time.monotonic() + 60
+        while time.monotonic() < end and what not in got:
+            time.sleep(0.2)
+        assert what in got, got
+
+    try:
+        page = folder / "concepts" / "a.md"
+        page.write_text("one")
+        wait(("concepts/a.md", "created", "route"))
+        page.write_text("two")
+        os.utime(page, (2e9, 2e9))
+        wait(("concepts/a.md", "modified", "route"))
+        page.unlink()
+        (folder / "concepts" / "b.md").write_text("x")
+        wait(("concepts/b.md", "created", "route"))
+        assert not any(e == "deleted" for _, e, _ in got)
+    finally:
+        q.stop()
+
+
+def test_word_embeddings_match_a_plain_version(spark):
+    texts = ["One two two, three.", "", "ünïcode WORDS words 42", "a " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", "text", text.tokens(F.col("text")).alias("t"), models.embed_words(F.col("text"), 16).alias("v")).collect()
+    for r in rows:
+        want = [0.0] * 16
+        for t in r.t:
+            want[zlib.crc32(t.encode()) % 16] += 1
+        n = sum(x * x for x in want) ** 0.5
+        assert r.v == pytest.approx([x / n if n else 0.0 for x in want])
