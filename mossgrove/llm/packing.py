@@ -1,32 +1,45 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Bulk-synchronous best-fit. Documents are range-sorted by length over the cluster, so a document's
-place in that order, less the start of its length's run, is its rank. A run is a length (or a gap)
-with a count; there are at most ``capacity`` of either, however many documents there are, which is the
-proven bound of what the driver holds. Each round takes the longest run left, sweeps the sorted gaps
-for the successor (the least gap that is long enough), gives the gap's bins to the documents by rank,
-puts the shortened gaps back and repeats until the run is used up; new bins open only when no gap is
-long enough. The rounds leave intervals ``documents of rank a..b go to bins c..d``; every task then looks
-its documents up in them, so no document is moved, joined or collected.
+Bulk-synchronous best-fit. Documents are range-sorted by length over the cluster, so a document's place in that
+order, less the start of its length's run, is its rank. What the rounds work on are tables of runs: a run of
+documents is a length with a first rank and a count, a run of gaps a size with a first bin and a count.
+In a round every range of sizes is swept in a task of its own, from the longest down: documents take the bins
+of the successor, the least gap that is long enough, and the longest, then the least by rank, come first where there are too few. What a
+range leaves over, documents without a gap and gaps without a document, meets in a last sweep, which gives the same matches as one
+sweep over all sizes. Gaps that a round has shortened are open again in the next. Of the documents that found
+none, those of which as few fit in a bin as of the longest open new bins. Rounds go on until no document is left.
+
+The rounds leave intervals ``documents of rank a..b go to bins c..d``; every task then looks its documents up in them, so no document
+is moved, joined or collected. Bounds, however many documents there are: at most ``capacity`` runs of documents; a round
+cuts at most as many runs of gaps in three as there are runs of documents, and adds at most ``capacity`` new ones,
+with an interval for each document that a bin takes of one length. Of the documents that a round leaves, none
+fits as few to a bin as the longest did, so there are no more rounds than values of ``capacity // length``: 63 for 1024.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.llm.common import map_batches, store, texts_of
+from mossgrove.llm.common import drop, map_batches, store, texts_of
 from mossgrove.llm.tokens import Encoder
 
 CAPACITY = 1024
 END_ID = 2
+#: Of sizes, each swept in a task of its own.
+RANGES = 8
+#: Runs of documents left, runs of gaps, intervals placed, and runs of gaps that a round makes.
+DOCS, GAP, PLACED, MADE = range(4)
+_NAMES = ["kind", "size", "first", "n", "bin", "offset"]
+_RUNS = ", ".join(f"{c} bigint" for c in _NAMES)
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -36,51 +49,72 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pack_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """Rounds of best-fit over runs. ``counts``: documents by length.
+def sweep(rows: pd.DataFrame, capacity: int, bins: int | None = None) -> pd.DataFrame:
+    """One successor sweep over runs of documents and of gaps (_RUNS): what it placed and made, and what it left over.
 
-    Returns intervals (first position, first bin, offset, length) in the order longest first: the
-    documents from that position on, up to the next interval's, go one each to the bins from that bin on.
+    With ``bins``, the number of bins so far, the documents left over of which as few fit in a bin as of the longest open new ones.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first bin, bins)
-    ordered: list[int] = []  # the gaps that have runs
-    out, position, bins = [], 0, 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(ordered, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            at = bisect.bisect_left(ordered, length)
-            if at == len(ordered):
-                gap, first, n = capacity, bins, -(-left // (capacity // length))
-                bins += n
-            else:
-                gap = ordered[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], ordered[at]
-            each = gap // length  # best-fit stays with a bin while it has room for this length
-            whole = min(n, left // each)
-            for slot in range(each if whole else 0):
-                out.append((position, first, capacity - gap + slot * length, length))
-                position += whole
-            left -= whole * each
-            put(gap - each * length, first, whole)
-            if whole < n:
-                rest = min(left, each)
-                for slot in range(rest if left else 0):
-                    out.append((position, first + whole, capacity - gap + slot * length, length))
-                    position += 1
-                left -= rest
-                put(gap - rest * length, first + whole, 1)
-                put(gap, first + whole + 1, n - whole - 1)
-    return out
+    out = rows[rows.kind >= PLACED].values.tolist()
+    gaps: list[list[int]] = []  # size, first bin, bins; the least on top
+
+    def place(length: int, first: int, n: int, gap: int, bin_: int, free: int) -> int:
+        """Puts documents of a run in a run of bins, as many in each as it takes; gives the number of bins used."""
+        each = gap // length
+        whole, rest = min(free, n // each), 0
+        out.extend([PLACED, length, first + slot * whole, whole, bin_, capacity - gap + slot * length] for slot in range(each if whole else 0))
+        if whole and gap > each * length:
+            out.append([MADE, gap - each * length, bin_, whole, 0, 0])
+        if whole < free and n > whole * each:
+            rest = n - whole * each
+            out.extend([PLACED, length, first + whole * each + slot, 1, bin_ + whole, capacity - gap + slot * length] for slot in range(rest))
+            if gap > rest * length:
+                out.append([MADE, gap - rest * length, bin_ + whole, 1, 0, 0])
+        return whole + (rest > 0)
+
+    left: list[list[int]] = []
+    events = rows[rows.kind < PLACED].sort_values(["size", "kind", "first"], ascending=[False, False, True])
+    for kind, size, first, n in events[["kind", "size", "first", "n"]].values.tolist():
+        if kind == GAP:
+            gaps.append([size, first, n])
+            continue
+        while n and gaps:
+            gap, bin_, free = gaps[-1]
+            used = place(size, first, n, gap, bin_, free)
+            done = min(n, used * (gap // size))
+            first, n = first + done, n - done
+            gaps[-1] = [gap, bin_ + used, free - used]
+            if free == used:
+                gaps.pop()
+        if n:
+            left.append([size, first, n])
+    if bins is not None and left:
+        fit = capacity // left[0][0]
+        for size, first, n in [x for x in left if capacity // x[0] == fit]:
+            bins += place(size, first, n, capacity, bins, n)
+        left = [x for x in left if capacity // x[0] != fit]
+    out += [[DOCS, size, first, n, 0, 0] for size, first, n in left] + [[GAP, size, first, n, 0, 0] for size, first, n in gaps]
+    return pd.DataFrame(out, columns=_NAMES, dtype="int64")
+
+
+def _sweeper(capacity: int, bins: int | None = None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda rows: sweep(rows, capacity, bins)
+
+
+def rounds(runs: DataFrame, capacity: int, ranges: int = RANGES) -> DataFrame:
+    """Packs runs of documents (length, n): intervals (length, first, n, bin, offset) of their ranks, stored."""
+    runs = runs.select(F.lit(DOCS).alias("kind"), F.col("length").alias("size"), F.lit(0).alias("first"), "n", F.lit(0).alias("bin"), F.lit(0).alias("offset"))
+    state, bins, left = store(runs.select(*(F.col(c).cast("bigint").alias(c) for c in _NAMES)), "runs"), 0, True
+    while left:
+        open_ = state.where(F.col("kind") != PLACED)
+        by_range = open_.groupBy(F.floor((F.col("size") - 1) * ranges / capacity)).applyInPandas(_sweeper(capacity), _RUNS)
+        swept = by_range.groupBy().applyInPandas(_sweeper(capacity, bins), _RUNS)
+        reopened = swept.withColumn("kind", F.when(F.col("kind") == MADE, F.lit(GAP).cast("bigint")).otherwise(F.col("kind")))
+        then = store(state.where(F.col("kind") == PLACED).unionByName(reopened), "runs")
+        drop(state)
+        state = then
+        placed = F.col("kind") == PLACED
+        bins, left = state.agg(F.coalesce(F.max(F.when(placed, F.col("bin") + F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == DOCS) > 0).first()
+    return state
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -119,10 +153,16 @@ def best_fit(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += n
 
     ranged = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"{PIECES}, task bigint, at bigint"), "ranged")
-    runs = ranged.groupBy("length").count().collect()  # at most `capacity` rows
+    runs = store(ranged.groupBy("length").agg(F.count("*").alias("n")), "lengths")
+    counts = sorted(runs.select("length", "n").collect(), reverse=True)  # at most `capacity` rows
+    start = dict(zip((x for x, _ in counts), np.cumsum([0, *(n for _, n in counts)]).tolist()))
     tasks = sorted(ranged.groupBy("task").count().collect())  # a number for each task
     first = dict(zip((t for t, _ in tasks), np.cumsum([0, *(n for _, n in tasks)]).tolist()))
-    plan = np.array(pack_runs({x["length"]: x["count"] for x in runs}, capacity), "i8").reshape(-1, 4)
+    found = rounds(runs, capacity)
+    intervals = found.where(F.col("kind") == PLACED).select("size", "first", "bin", "offset").collect()  # of runs, see above
+    plan = np.array(sorted((start[size] + at, bin_, offset) for size, at, bin_, offset in intervals), "i8").reshape(-1, 3)
+    drop(found)
+    drop(runs)
 
     def make():
         def work(batch):

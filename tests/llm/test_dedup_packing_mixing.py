@@ -5,6 +5,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -134,20 +135,87 @@ def plain_best_fit(lengths, capacity):
     return sorted(gaps)
 
 
-def test_rounds_over_runs_are_best_fit_decreasing():
+def plain_rounds(lengths, capacity):
+    """The rounds document by document: gaps after each, one bin at a time kept at while it takes documents of one length."""
+    left, gaps = sorted(lengths, reverse=True), []
+    while left:
+        open_, shut, over = sorted(gaps), [], []
+        while left:
+            fit = next((g for g in open_ if g >= left[0]), None)
+            if fit is None:
+                over.append(left.pop(0))
+                continue
+            open_.remove(fit)
+            own = [x for x in left[: fit // left[0]] if x == left[0]]
+            left = left[len(own) :]
+            shut.append(fit - sum(own))
+        gaps = open_ + shut
+        few = [x for x in over if capacity // x == capacity // over[0]]
+        left = over[len(few) :]
+        while few:
+            own = [x for x in few[: capacity // few[0]] if x == few[0]]
+            few = few[len(own) :]
+            gaps.append(capacity - sum(own))
+    return sorted(gaps)
+
+
+def by_rounds(lengths, cap, ranges):
+    """packing.rounds() without Spark: the same sweeps over runs, range by range and then as a whole."""
+    state, bins, n = pd.DataFrame([[packing.DOCS, x, 0, k, 0, 0] for x, k in Counter(lengths).items()], columns=packing._NAMES), 0, 0
+    while (state.kind == packing.DOCS).any():
+        done, open_ = state[state.kind == packing.PLACED], state[state.kind != packing.PLACED]
+        parts = pd.concat([packing.sweep(g, cap) for _, g in open_.groupby((open_["size"] - 1) * ranges // cap)])
+        after = packing.sweep(parts, cap, bins)
+        whole = packing.sweep(open_, cap, bins)
+        assert sorted(map(tuple, after.values.tolist())) == sorted(map(tuple, whole.values.tolist()))
+        after.loc[after.kind == packing.MADE, "kind"] = packing.GAP
+        state, n = pd.concat([done, after]), n + 1
+        placed = state[state.kind == packing.PLACED]
+        bins = int((placed.bin + placed.n).max())
+    return state, n
+
+
+def filled(places, lengths):
+    """Bins' fills by placed runs (size, first, n, bin, offset), each rank of each length once and offsets without a gap."""
+    ranks, fill = Counter(), {}
+    for size, first, n, bin_, offset in places:
+        for k in range(n):
+            ranks[size, first + k] += 1
+            fill.setdefault(bin_ + k, []).append((offset, size))
+    assert ranks == Counter((x, k) for x, n in Counter(lengths).items() for k in range(n))
+    for own in fill.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+    assert sorted(fill) == list(range(len(fill)))
+    return [sum(n for _, n in own) for own in fill.values()]
+
+
+def test_rounds_over_runs_match_rounds_by_document():
     random.seed(2)
-    for _ in range(200):
+    for _ in range(150):
         cap = random.choice([10, 64, 100])
-        lengths = [random.randint(1, cap) for _ in range(random.randrange(1, 120))]
-        plan = packing.pack_runs(Counter(lengths), cap)
-        starts = [p[0] for p in plan] + [len(lengths)]
-        ordered, fill, used = sorted(lengths, reverse=True), Counter(), {}
-        assert starts[0] == 0 and starts == sorted(starts)
-        for (s, first, offset, n), e in zip(plan, starts[1:]):
-            for k in range(e - s):
-                assert ordered[s + k] == n and fill[first + k] == offset
-                fill[first + k] += n
-        assert sorted(cap - x for x in fill.values()) == plain_best_fit(lengths, cap) and not used
+        lengths = [random.randint(1, random.choice([cap, cap // 3])) for _ in range(random.randrange(1, 120))]
+        state, n = by_rounds(lengths, cap, random.choice([1, 3, 8]))
+        fills = filled(state[state.kind == packing.PLACED][["size", "first", "n", "bin", "offset"]].values.tolist(), lengths)
+        assert sorted(cap - x for x in fills) == plain_rounds(lengths, cap)
+        assert n <= len({cap // x for x in lengths})
+
+
+@pytest.mark.parametrize("draw", [lambda r: r.randint(1, 1024), lambda r: r.randint(1, 300), lambda r: min(1024, 1 + int(r.expovariate(1 / 150)))])
+def test_rounds_need_hardly_more_bins_than_best_fit_decreasing(draw):
+    r = random.Random(3)
+    lengths = [draw(r) for _ in range(3000)]
+    state, _ = by_rounds(lengths, 1024, 8)
+    fills = filled(state[state.kind == packing.PLACED][["size", "first", "n", "bin", "offset"]].values.tolist(), lengths)
+    assert len(fills) <= 1.01 * len(plain_best_fit(lengths, 1024))
+
+
+def test_rounds_in_spark_match_rounds_by_document(spark):
+    r = random.Random(4)
+    lengths = [r.randint(1, 100) for _ in range(400)]
+    runs = spark.createDataFrame(list(Counter(lengths).items()), "length bigint, n bigint")
+    got = packing.rounds(runs, 100, 4).where(F.col("kind") == packing.PLACED).select("size", "first", "n", "bin", "offset").collect()
+    assert sorted(100 - x for x in filled([tuple(x) for x in got], lengths)) == plain_rounds(lengths, 100)
 
 
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
