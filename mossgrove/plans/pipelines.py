@@ -50,6 +50,12 @@ def route(spark: SparkSession, text: str, source: str, chunks: DataFrame, pages:
     return decided, routing.apply(decided, pages, executor)
 
 
+def route_file(spark: SparkSession, root: str, path: str, chunks: DataFrame, pages: DataFrame, **plugs) -> tuple[DataFrame, DataFrame]:
+    """route() for a file that the tree already has, at ``path`` below ``root``; the file is no candidate for itself."""
+    text = files.read_source(spark, f"{root.rstrip('/')}/{path}").first()["content"]
+    return route(spark, text, path, chunks.where(F.col("source") != path), pages, **plugs)
+
+
 def ingest(spark: SparkSession, path: str, chunks: DataFrame, pages: DataFrame, summarise: Callable[[Column], Column] | None = None, branch: str = "sources", dry_run: bool = False, no_route: bool = False, **plugs) -> dict[str, DataFrame | None]:
     """Reads a source, writes its summary as an entry and routes it: entry, actions, changed (pages)."""
     got = files.read_source(spark, path).withColumn("content", summarise(F.col("content")) if summarise else F.col("content"))

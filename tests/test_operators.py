@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from mossgrove.functions import dates, jsons, models, paths, text, vectors
 from mossgrove.model import AUDIT, CHUNKS, Params
 from mossgrove.operators import bm25, cluster, evaluate, graph, hybrid, metrics, private, queue, rollup, routing, turns
+from mossgrove import cli
 from mossgrove.plans import pipelines
 from mossgrove.sources import chunking, files, sinks
-from mossgrove.streaming import changes
+from mossgrove.streaming import changes, daemon
 
 
 def one(spark, column):
@@ -295,3 +296,47 @@ def test_word_embeddings_match_a_plain_version(spark):
             want[zlib.crc32(t.encode()) % 16] += 1
         n = sum(x * x for x in want) ** 0.5
         assert r.v == pytest.approx([x / n if n else 0.0 for x in want])
+
+
+def test_daemon_empties_the_queue_and_a_failed_poll_keeps_it(spark, tmp_path):
+    table = f"{tmp_path}/queue"
+    assert daemon.drain(spark, table, {}) == 0
+    sinks.replace_table(queue.with_ids(spark.createDataFrame([(k, "route", f"{k}.md", "t", "pending", None, 0) for k in range(3)], "pos bigint, type string, path string, queued_at string, status string, error string, priority int")), table)
+
+    def broken(own):
+        raise RuntimeError("no model")
+
+    with pytest.raises(RuntimeError):
+        daemon.drain(spark, table, {"route": broken})
+    assert queue.pressure(sinks.read_table(spark, table)).first()["pending"] == 3
+    assert daemon.run(spark, table, {"route": lambda own: own.select("id", F.lit(None).cast("string").alias("error"))}, every=0, polls=2) == 3
+    assert {r.status for r in sinks.read_table(spark, table).collect()} == {"done"}
+
+
+def test_command_line_queues_and_works_off(spark, tmp_path, capsys):
+    root, table = tmp_path / "tree", f"{tmp_path}/chunks"
+    root.mkdir()
+    (root / "a.md").write_text("# A\nmoss and fern\n")
+    run = lambda *words: cli.main([*words, "--root", str(root), "--table", table])
+    assert run("ingest", "a.md", "a.md") == 0 and run("queue") == 0
+    assert "pending" in capsys.readouterr().out
+    assert run("sleep") == 0 and "1 tasks handled" in capsys.readouterr().out
+    assert run("read", "fern") == 0 and "a.md" in capsys.readouterr().out
+    assert cli.main(["write", "some", "words", "--table", f"{tmp_path}/entries"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/entries").first().content == "some words"
+    (tmp_path / "log.jsonl").write_text('{"event": "write_entry"}\n')
+    assert cli.main(["metrics", "--table", f"{tmp_path}/log.jsonl"]) == 0 and "writes" in capsys.readouterr().out
+
+
+def test_an_existing_file_is_routed_but_not_to_itself(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\nmoss and fern\n")
+    (tmp_path / "b.md").write_text("# B\nfern and moss\n")
+    pipelines.index_tree(spark, str(tmp_path), f"{tmp_path}/table").collect()
+    chunks, seen = spark.read.schema(CHUNKS).parquet(f"{tmp_path}/table"), spark.createDataFrame([("a.md", "# A"), ("b.md", "# B")], "path string, content string")
+
+    def link(content, candidates):
+        return F.transform(candidates, lambda c: F.struct(F.lit("LINK").alias("action"), c["source"].alias("target"), F.lit("").alias("direction"), F.lit("").alias("reason")))
+
+    actions, changed = pipelines.route_file(spark, str(tmp_path), "a.md", chunks, seen, router=link)
+    assert [(r.source, r.target, r.executed) for r in actions.collect()] == [("a.md", "b.md", True)]
+    assert changed.first().path == "a.md" and "[[b]]" in changed.first().content
