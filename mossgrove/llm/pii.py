@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +80,11 @@ _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:(plus|\+)[ -]*)?((?:{_WORD}|[0-9])(?:[ ,-]{{0,2}}(?:{_WORD}|[0-9])){{4,}})(?!\w)")
 _ONE = re.compile(rf"(?i){_WORD}|[0-9]")
 # two units next to each other, one of them a word, are in whatever _digits() changes
-_PAIR = rf"(?:{_WORD})[ ,-]{{0,2}}(?:{_WORD}|[0-9])|[0-9][ ,-]{{0,2}}(?:{_WORD})"
-_PAIRS, _ANY_PAIRS = re.compile(_PAIR), re.compile(rf"(?i){_PAIR}")
+_AFTER, _BEFORE = re.compile(rf"[ ,-]{{0,2}}(?:{_WORD}|[0-9])"), re.compile(r"[0-9][ ,-]{0,2}\Z")
+_WORDS_AT = ahocorasick.Automaton()
+for _w in _DIGITS:
+    _WORDS_AT.add_word(_w, len(_w))
+_WORDS_AT.make_automaton()
 _AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)"
 _ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?)({_AT})([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}})(?![A-Za-z0-9-]|\s+at\s|\s*@)")
@@ -155,11 +159,20 @@ def _login(m: re.Match, name: str, host: str) -> bool:
     return bool(_MAILBOXES.fullmatch(host) or _LOGIN.fullmatch(name) or _CUE.search(m.string, max(0, m.start() - 40), m.start()))
 
 
+def _lower(text: str) -> str:
+    """In lower case, where the letters that (?i) also takes for i and s are those."""
+    return (text if text.isascii() else text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")).lower()
+
+
+def _paired(low: str) -> bool:
+    """Whether a spelled digit has another digit, spelled or not, next to it. Each spelled digit is looked at once."""
+    return any(_AFTER.match(low, last + 1) or _BEFORE.search(low, max(0, last - n - 2), last - n + 1) for last, n in _WORDS_AT.iter(low))
+
+
 def _marks(text: str) -> tuple[bool, bool]:
     """Whether a text has runs of digits some of which are spelled, and may have disguised signs."""
-    low = text.lower()
-    pair = _PAIRS.search(low) if text.isascii() else _ANY_PAIRS.search(text)
-    return bool(pair) and any(_digits(m) != m[0] for m in _SPELLED.finditer(text)), any(x in low for x in _HINTS) or bool(_PLAIN_AT.search(low))
+    low = _lower(text)
+    return _paired(low) and any(_digits(m) != m[0] for m in _SPELLED.finditer(text)), any(x in low for x in _HINTS) or bool(_PLAIN_AT.search(low))
 
 
 def disguised(text: str, found: list[Span]) -> list[Span]:

@@ -336,3 +336,14 @@ def test_pipeline_stages(spark, odd, odd_rows, labels, tmp_path):
             assert {r.doc_id for r in docs.collect()} <= {r[0] for r in odd_rows}
             assert stage(spark, odd.limit(0), d).count() == 0
     assert out.count() == corpus_pipeline.run(spark, d).count() > 0
+
+
+def test_spelled_digits_are_gated_as_by_the_plain_pattern():
+    """The gate by Aho-Corasick says what the pattern of two neighbouring digits, one of them spelled, says."""
+    plain = re.compile(rf"(?i)(?:{pii._WORD})[ ,-]{{0,2}}(?:{pii._WORD}|[0-9])|[0-9][ ,-]{{0,2}}(?:{pii._WORD})")
+    draw = random.Random(3)
+    parts = [*pii._DIGITS, *"0123456789 ,-ıİſKxş\n", "  ", ", ", "--", "   "]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 7)))
+        text = "".join(c.upper() if draw.random() < 0.2 else c for c in text)
+        assert pii._paired(pii._lower(text)) == bool(plain.search(text)), text
