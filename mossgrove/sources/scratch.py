@@ -24,19 +24,24 @@ def _own(spark: SparkSession) -> str:
     return f"{root(spark)}/mossgrove/{spark.sparkContext.applicationId}"
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, at which nothing lies yet."""
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read back: lineage ends there, and a lost executor costs no more than a re-read.
 
     The files stay until drop() or clear(), or until the folder is cleaned up.
     """
-    path = f"{_own(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._step_path = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -45,9 +50,9 @@ def drop(df: DataFrame | None) -> None:
     """Deletes the files of a table made by store()."""
     path = getattr(df, "_step_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that this application stored; what was read from them can't be read again."""
-    _delete(spark, _own(spark))
+    delete(spark, _own(spark))
