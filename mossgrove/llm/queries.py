@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import linktrust, mixing, neighbours, packing, pii, quality, rules, secrets, simhash, toxicity, warc
+from mossgrove.llm import lexical, linktrust, mixing, neighbours, packing, pii, quality, rules, secrets, simhash, toxicity, warc
 from mossgrove.llm.common import prepare, read
 
 
@@ -60,6 +60,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(prepare(spark), sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all `documents` for each item of `benchmark`."""
+    return lexical.search(read(prepare(spark), sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record for each of `pages`, written and read back."""
     return warc.round_trip(read(prepare(spark), sf_dir, "pages"))
@@ -76,11 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_lexical_search": op12_lexical_search,
     "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filters": linktrust.ORACLE,
     "op9_mixing_sources": mixing.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
     "op13_warc": warc.ORACLE,
 }
