@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrove.llm import lexical, linktrust, mixing, neighbours, packing, pii, quality, rules, secrets, simhash, toxicity, warc
+from mossgrove.llm import codes, lexical, linktrust, mixing, neighbours, packing, pii, quality, rules, secrets, simhash, toxicity, warc
 from mossgrove.llm.common import prepare, read
 
 
@@ -60,6 +60,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(prepare(spark), sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code of 16 bytes for each vector of `embeddings`."""
+    return codes.codes(read(prepare(spark), sf_dir, "embeddings"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all `documents` for each item of `benchmark`."""
     return lexical.search(read(prepare(spark), sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_vector_codes": op11_vector_codes,
     "op12_lexical_search": op12_lexical_search,
     "op13_warc": op13_warc,
 }
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filters": linktrust.ORACLE,
     "op9_mixing_sources": mixing.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
     "op12_lexical_search": lexical.ORACLE,
     "op13_warc": warc.ORACLE,
 }
