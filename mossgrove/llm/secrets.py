@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossgrove.llm.common import map_batches, texts_of
-from mossgrove.llm.spans import Span, digest, free, joined
+from mossgrove.llm.spans import Span, digest, joined, outside
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -26,12 +26,15 @@ NAMES = ("passw", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character, by class of the window's characters. Digits alone are never a secret, nor are letters of one case.
-THRESHOLDS = {"hex": 3.0, "lower": 3.7, "upper": 3.7, "letters": 3.9, "alnum": 3.65, "base64": 3.75}
+THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "letters": 3.9, "alnum": 3.65, "base64": 3.75}
 #: A window that touches one of these isn't a secret: identifiers, digests named as such, placeholders.
 ALLOWED = re.compile(
     r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"
     r"|(?i:(?<![a-z])(?:md5|sha1|sha256|sha512)[-_=][a-z0-9+/=]*|example|sample|placeholder|dummy|changeme|xxxx|1234567890)"
 )
+#: Parts of names: a window of both cases of which so large a share lies in them is a path or a name in CamelCase.
+NAME_PART = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]{1,4}|[0-9]{1,4})(?![A-Za-z0-9])|[A-Z]?[a-z]{3,}")
+NAME_SHARE = (3, 5)
 _C = [0.0] + [c * log2(c) for c in range(1, 257)]
 
 
@@ -67,13 +70,19 @@ def _class(lower: int, upper: int, digit: int, hexa: int, size: int) -> str | No
 def entropy_spans(run: str, at: int = 0, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[Span]:
     """Spans of windows of a candidate whose entropy reaches their class's threshold; touching ones are joined.
 
-    Windows that touch what is allowed don't count; the rest of the candidate is judged as ever.
+    Windows that touch what is allowed, and those of both cases made up of parts of names, don't count; the rest of the
+    candidate is judged as ever.
     """
     counts: dict[str, int] = {}
     weight, kinds = 0.0, [0, 0, 0, 0]  # lower, upper, digit, hexadecimal
     out: list[Span] = []
     allowed = [m.span() for m in ALLOWED.finditer(run)] + [(len(run), len(run))]
     next_ = 0
+    named = [0] * (len(run) + 1)
+    for m in NAME_PART.finditer(run):
+        named[m.start() + 1 : m.end() + 1] = [1] * len(m[0])
+    for i in range(len(run)):
+        named[i + 1] += named[i]
 
     def move(c: str, by: int) -> None:
         nonlocal weight
@@ -91,7 +100,7 @@ def entropy_spans(run: str, at: int = 0, window: int = WINDOW, thresholds: dict[
         begin = i - size + 1
         while allowed[next_][1] <= begin and next_ < len(allowed) - 1:
             next_ += 1
-        if begin >= 0 and not (allowed[next_][0] <= i and allowed[next_][1] > begin) and (k := _class(*kinds, size)) and log2(size) - weight / size >= thresholds[k] - 1e-9:
+        if begin >= 0 and not (allowed[next_][0] <= i and allowed[next_][1] > begin) and (k := _class(*kinds, size)) and not (kinds[0] and kinds[1] and NAME_SHARE[1] * (named[i + 1] - named[begin]) >= NAME_SHARE[0] * size) and log2(size) - weight / size >= thresholds[k] - 1e-9:
             s, e = at + begin, at + i + 1
             if out and out[-1][2] >= s:
                 out[-1] = ("entropy", out[-1][1], e)
@@ -108,14 +117,16 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         return found, found
     found = base(text)
     more = [s for m in CANDIDATE.finditer(text) for s in entropy_spans(m[0], m.start())]
-    return found, sorted(found + free(more, found), key=lambda x: (x[1], KINDS.index(x[0])))
+    left = [s for s in outside(more, found) if any(c.isalnum() for c in text[s[1] : s[2]])]
+    return found, sorted(found + left, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each row of ``docs`` (doc_id, text).
 
-    A null text is empty and has no spans. Base spans of different kinds may overlap; spans that the method adds
-    overlap none of them. Null and repeated ids are scanned row by row; other columns are ignored.
+    A null text is empty and has no spans. Base spans of different kinds may overlap; of a span that the method adds
+    what lies outside them is kept, in pieces if need be. Very long texts are scanned whole, in time in proportion. Null
+    and repeated ids are scanned row by row; an empty table gives no rows; other columns are ignored.
     """
 
     def make():

@@ -37,6 +37,26 @@ def free(spans: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
     return out
 
 
+def outside(spans: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
+    """What of ``spans`` lies outside ``taken``: each span's pieces between those."""
+    begins: list[int] = []
+    ends: list[int] = []  # how far the spans up to each begin reach
+    for s, e in sorted((s, e) for _, s, e in taken):
+        begins.append(s)
+        ends.append(max(e, ends[-1] if ends else e))
+    out: list[Span] = []
+    for k, s, e in spans:
+        at = bisect_right(begins, s) - 1
+        s = max(s, ends[at]) if at >= 0 else s
+        at += 1
+        while s < e:
+            stop = min(e, begins[at]) if at < len(begins) else e
+            if s < stop:
+                out.append((k, s, stop))
+            s, at = max(s, ends[at]) if at < len(begins) else e, at + 1
+    return out
+
+
 def beyond(spans: Iterable[Span], found: Iterable[Span]) -> list[Span]:
     """Those of ``spans`` that lie within none of ``found``."""
     begins: list[int] = []
