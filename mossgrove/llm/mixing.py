@@ -115,14 +115,14 @@ def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     """
     rows = store(sized(docs), "sized")
     plan = _plan(rows, weights, most)
-    last = _last(_planned(rows, plan)).groupBy(F.col("of").alias("_of"), F.col("doc_id").alias("_id"), F.col("key").alias("_at"), F.col("size").alias("_n")).agg(F.min("more").alias("_last"))
+    last = _last(_planned(rows, plan)).groupBy("of", F.col("doc_id").alias("id_of"), F.col("key").alias("at"), F.col("size").alias("n")).agg(F.min("more").alias("last"))
     text = F.coalesce("text", F.lit(""))
-    own = docs.withColumns({"_key": _key(F.col("doc_id"), text), "_size": _size(text)})
-    sources = counted(plan.select(F.col("of").alias("_source"), F.col("epochs").alias("_epochs"), F.col("bucket").alias("_bucket")))
-    own = own.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left")
-    own = own.join(counted(last), F.col("source").eqNullSafe(F.col("_of")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_at")) & (F.col("_size") == F.col("_n")), "left")
-    copies = F.col("_epochs") + F.coalesce("_last", (_bucket(F.col("_key")) < F.col("_bucket")).cast("int"), F.lit(0))
-    return own.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint")))).select(*docs.columns)
+    # the input is one struct meanwhile, so that no name of its columns can clash
+    own = docs.select(F.struct("*").alias("row"), F.col("source").alias("src"), F.col("doc_id").cast("bigint").alias("id"), _key(F.col("doc_id"), text).alias("key"), _size(text).alias("words"))
+    own = own.join(counted(plan.select(F.col("of").alias("planned"), "epochs", "bucket")), F.col("src").eqNullSafe(F.col("planned")), "left")
+    own = own.join(counted(last), F.col("src").eqNullSafe(F.col("of")) & F.col("id").eqNullSafe(F.col("id_of")) & (F.col("key") == F.col("at")) & (F.col("words") == F.col("n")), "left")
+    copies = F.col("epochs") + F.coalesce("last", (_bucket(F.col("key")) < F.col("bucket")).cast("int"), F.lit(0))
+    return own.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), copies.cast("bigint")))).select("row.*")
 
 
 ORACLE = r"""

@@ -200,9 +200,12 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     found = near_duplicates(docs, radius, shingle).where("doc_id IS NOT NULL")
     ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows"))
     leave = counted(ids.where("NOT first OR rows > 1").select(F.col("doc_id").alias("leaves"), (F.col("first") & (F.col("rows") > 1)).alias("again")))
-    same = F.col("doc_id").cast("bigint") == F.col("leaves")
-    stay = docs.join(leave, same, "left_anti")
+    # the input is one struct meanwhile, so that no name of its columns can clash
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    same = F.col("id") == F.col("leaves")
+    stay = own.join(leave, same, "left_anti").select("row")
     if leave.where("again").take(1):
-        one = docs.join(leave.where("again"), same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-        stay = stay.unionByName(one.select("row.*"))
-    return stay
+        hashed = F.xxhash64(*(F.col("row").getField(c) for c in docs.columns))
+        one = own.join(leave.where("again"), same, "left_semi").groupBy("id").agg(F.min_by("row", hashed).alias("row"))
+        stay = stay.unionByName(one.select("row"))
+    return stay.select("row.*")

@@ -273,3 +273,16 @@ def test_repeat_does_what_mix_says(odd):
 def test_quality_weight_orders_sampling(spark):
     w = spark.createDataFrame([("plain words",), ("#*$%&",), ("",)], "t string").select(mixing.quality_weight(F.col("t")).alias("w")).collect()
     assert [round(r.w, 2) for r in w] == [1.0, 0.05, 1.0]
+
+
+def test_columns_of_any_name_come_through(spark, odd, odd_rows):
+    """repeat() and keep_first() give back the input's columns, whatever their names, with the values they had."""
+    names = ("_key", "_size", "_copy", "_bucket", "_last", "_of", "leaves", "again", "row", "id", "key", "src", "words", "at", "n", "of", "planned", "epochs", "last", "first", "rows", "more", "own", "col", "id_of", "component_id")
+    base = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    more = base.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names))
+    for keep in (mixing.repeat, simhash.keep_first):
+        got, plain = keep(more), keep(base)
+        assert got.columns == more.columns
+        rows = got.collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in plain.collect())
+        assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in names)
