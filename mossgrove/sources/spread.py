@@ -1,19 +1,15 @@
-"""Small inputs dealt out over all cores."""
+"""Inputs of few splits dealt out over all cores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Bytes of files for each core under which a scan is dealt out; Spark's own least split is as large.
-LEAST_SPLIT = 4 << 20
-
 
 def spread(scan: DataFrame) -> DataFrame:
-    """The rows of ``scan``, an unchanged read of files, over a partition for each core at least, if the files are small.
+    """The rows of ``scan``, an unchanged read of files, over a partition for each core at least.
 
-    Files of few row groups are read by as few tasks, however many cores there are. Their size is known from the file
-    listing, and dealing out so few bytes costs less than working on them in one task. Larger inputs are left as they are.
+    Files of few row groups are read by as few tasks, however many cores there are; then rows are dealt out. A read of as
+    many tasks as there are cores, or more, is left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return scan.repartition(cores) if cores > 1 and size < cores * LEAST_SPLIT else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
