@@ -13,7 +13,7 @@ from mossgrove.model import CHUNKS, Params
 from mossgrove.operators import hybrid, metrics, queue
 from mossgrove.plans.pipelines import index_tree
 from mossgrove.session import session
-from mossgrove.sources import files, sinks
+from mossgrove.sources import files, keyword_index, sinks
 from mossgrove.streaming import changes, daemon
 
 COMMANDS = ("index", "write", "read", "status", "watch", "sleep", "queue", "daemon", "ingest", "metrics")
@@ -31,11 +31,16 @@ def _queued(spark, table: str, rows):
     sinks.replace_table(queue.enqueue(old, new), table)
 
 
+def _keywords(a) -> str:
+    """Where the keyword index of a chunk table is."""
+    return f"{a.table.rstrip('/')}-keywords"
+
+
 def _handlers(spark, a) -> daemon.Handlers:
     """What the command line does with tasks: bring the index up to date. Models are plugged in by library."""
 
     def reindex(tasks):
-        index_tree(spark, a.root, a.table).collect()
+        index_tree(spark, a.root, a.table, keywords=_keywords(a)).collect()
         return tasks.select("id", F.lit(None).cast("string").alias("error"))
 
     return dict.fromkeys(("ingest", "route"), reindex)
@@ -56,8 +61,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--full", action="store_true")
     a = p.parse_args(argv)
     spark = session()
+    keywords = _keywords(a)
     if a.command == "index":
-        index_tree(spark, a.root, a.table, a.full).show(truncate=False)
+        index_tree(spark, a.root, a.table, a.full, keywords=keywords).show(truncate=False)
         return 0
     at = a.queue or f"{a.table.rstrip('/')}-queue"
     if a.command == "write":
@@ -85,7 +91,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     query = " ".join(a.words)
     vector = spark.range(1).select(embed_words(F.lit(query)).alias("v")).first()["v"]
-    hybrid.hybrid_search(chunks, vector, query, Params(top_k=a.top)).select("rank", "source", "score", preview(F.col("content")).alias("preview")).show(a.top, truncate=False)
+    known = keywords if keyword_index.version(spark, keywords) else None
+    hybrid.hybrid_search(chunks, vector, query, Params(top_k=a.top), keywords=known, tolerant=True).select("rank", "source", "score", preview(F.col("content")).alias("preview")).show(a.top, truncate=False)
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,32 @@ from mossgrove.functions.paths import base_name, forward, stem
 TOKEN = r"[\p{L}\p{N}]+"
 
 
+def _plain(c: str) -> str | None:
+    """The letter that a lower-case Latin one with diacritics is without them."""
+    d = unicodedata.normalize("NFD", c)
+    return d[0] if len(d) > 1 and "LATIN SMALL" in unicodedata.name(c, "") and all(map(unicodedata.combining, d[1:])) else None
+
+
+_ACCENTED = [c for c in map(chr, range(0xC0, 0x2000)) if _plain(c)]
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their diacritics, composed or not."""
+    low = F.lower(text)
+    plain = F.translate(low, "".join(_ACCENTED) + _MARKS, "".join(_plain(c) or "" for c in _ACCENTED))  # marks have no counterpart and go
+    return F.when(F.octet_length(low) > F.length(low), plain).otherwise(low)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def search_tokens(text: Column) -> Column:
+    """Tokens as keyword search compares them."""
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
+
+
 def query_terms(query: str) -> list[str]:
     """A query's words, each to be matched as a phrase of its tokens; quotes are dropped."""
     return query.replace('"', " ").split()

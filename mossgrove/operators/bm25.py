@@ -1,7 +1,7 @@
 """Keyword relevance: BM25 over the content, heading and source of chunks.
 
 Without an index a query reads the chunks once and keeps one narrow row for each: its length and the counts of the
-query's terms. With one, postings lie partitioned by a hash of the term, and only the query's terms are read.
+query's terms. With one (sources/keyword_index.py) only the postings of the query's terms are read.
 """
 
 from __future__ import annotations
@@ -9,20 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mossgrove.functions.text import query_terms, tokens
+from mossgrove.functions.text import query_terms, search_tokens
 from mossgrove.functions.vectors import let
 from mossgrove.model import Params
 
-#: Directories that a stored index is partitioned into by term.
-PARTS = 64
-#: Over so many tasks a directory's postings are dealt by id, so that a frequent term isn't one task's.
-DEALT = 8
 LEAST_IDF = 1e-6
 
 
 def document_tokens(chunks: DataFrame) -> Column:
     cols = [F.col(c) for c in ("content", "heading", "source") if c in chunks.columns]
-    return tokens(F.concat_ws(" ", *cols))
+    return search_tokens(F.concat_ws(" ", *cols))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -55,7 +51,7 @@ def phrases(spark, query: str) -> list[list[str]]:
     words = query_terms(query)
     if not words:
         return []
-    row = spark.range(1).select(*(tokens(F.lit(w)).alias(f"w{i}") for i, w in enumerate(words))).first()
+    row = spark.range(1).select(*(search_tokens(F.lit(w)).alias(f"w{i}") for i, w in enumerate(words))).first()
     return [list(x) for x in row if x]
 
 
@@ -74,10 +70,19 @@ def bm25(chunks: DataFrame, query: str, params: Params = Params()) -> DataFrame:
     return s.select("id", score.alias("score"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, tf and the chunk's length, a row for each distinct term of each chunk."""
-    words = chunks.select("id", document_tokens(chunks).alias("_w"))
-    return words.select("id", F.size("_w").alias("length"), F.explode("_w").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, *more: str) -> DataFrame:
+    """term, id, length (of the chunk), tf and positions, a row for each distinct term of each chunk, and columns ``more``.
+
+    Nothing is shuffled: a chunk's tokens are sorted with their positions and cut where the token changes.
+    """
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
+        cut = lambda b: F.zip_with(b, F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s))), lambda x, y: F.struct(F.get(s, x)["t"].alias("term"), F.transform(F.slice(s, x + 1, y - x), lambda e: e["i"]).alias("positions")))
+        return let(begins, cut)
+
+    words = chunks.select("id", *more, document_tokens(chunks).alias("w")).where("size(w) > 0")
+    rows = words.select("id", *more, F.size("w").alias("length"), F.sort_array(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
+    return rows.select("id", *more, "length", F.inline(let(F.col("s"), runs))).select("term", "id", *more, "length", F.size("positions").cast("bigint").alias("tf"), "positions")
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
@@ -85,25 +90,28 @@ def term_stats(chunks: DataFrame) -> DataFrame:
     return postings(chunks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Stores postings by term under ``path``/postings and the corpus statistics under ``path``/stats."""
-    part = F.pmod(F.xxhash64("term"), F.lit(PARTS))
-    postings(chunks).withColumn("part", part).repartition("part", F.pmod(F.xxhash64("id"), F.lit(DEALT))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    chunks.select(F.size(document_tokens(chunks)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def indexed_bm25(spark, path: str, query: str, params: Params = Params()) -> DataFrame:
-    """bm25() for words of one token each, from a stored index: only those terms' partitions and rows are read."""
-    terms = [t[0] for t in phrases(spark, query) if len(t) == 1]
-    if not terms:
-        return spark.createDataFrame([], "id string, score double")
-    times = {t: terms.count(t) for t in terms}
-    parts = [r[0] for r in spark.createDataFrame([(t,) for t in times], "term string").select(F.pmod(F.xxhash64("term"), F.lit(PARTS))).distinct().collect()]
-    found = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts) & F.col("term").isin(list(times)))
-    weights = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = spark.read.parquet(f"{path}/stats").select(F.struct("*")).scalar()
-    rows = found.join(F.broadcast(weights), "term").withColumn("s", stats)  # a row for each term of the query
-    again = F.lit(0)
-    for t, n in times.items():
-        again = F.when(F.col("term") == t, F.lit(n)).otherwise(again)
-    return rows.groupBy("id").agg(F.sum(again * term_score(F.col("tf"), F.col("length"), F.col("s.mean"), idf(F.col("s.n"), F.col("df")), params)).alias("score"))
+def _occurrences(phrase: list[str], at: dict[str, int]) -> Column:
+    """How often a phrase occurs in a row that has tf and positions by token, t<i> and p<i>; null if a token is missing."""
+    if len(phrase) == 1:
+        return F.col(f"t{at[phrase[0]]}")
+
+    def moved(token: str, by: int) -> Column:
+        return F.transform(f"p{at[token]}", lambda x: x - by)
+
+    out = F.col(f"p{at[phrase[0]]}")
+    for k, token in enumerate(phrase[1:], 1):
+        out = F.array_intersect(out, moved(token, k))
+    return F.size(out)
+
+
+def bm25_of(found: DataFrame, words: list[list[str]], n: Column, mean: Column, params: Params = Params()) -> DataFrame:
+    """bm25() from postings (term, id, length, tf, positions) of the words' tokens, in a corpus of n chunks of a mean length."""
+    at = {t: i for i, t in enumerate(sorted({t for w in words for t in w}))}
+    phrased = {t for w in words if len(w) > 1 for t in w}
+    one = lambda c, t: F.first(F.when(F.col("term") == t, F.col(c)), ignorenulls=True)
+    rows = found.groupBy("id", "length").agg(*(one("tf", t).alias(f"t{i}") for t, i in at.items()), *(one("positions", t).alias(f"p{i}") for t, i in at.items() if t in phrased))
+    rows = rows.select("id", "length", *(F.coalesce(_occurrences(w, at), F.lit(0)).alias(f"f{k}") for k, w in enumerate(words)))
+    stats = rows.agg(*(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(words)))).select(F.struct("*")).scalar()
+    rows = rows.where(F.greatest(F.lit(0), *(F.col(f"f{k}") for k in range(len(words)))) > 0).withColumn("s", stats)
+    score = sum((term_score(F.col(f"f{k}"), F.col("length"), mean, idf(n, F.col(f"s.n{k}")), params) for k in range(len(words))), F.lit(0.0))
+    return rows.select("id", score.alias("score"))

@@ -6,6 +6,7 @@ fusion see those rows only.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,10 @@ from mossgrove.functions import vectors
 from mossgrove.functions.paths import is_leaf, is_protected, trunk_boost, trunk_distance
 from mossgrove.model import Params
 from mossgrove.operators.bm25 import bm25
+from mossgrove.sources import keyword_index
+from mossgrove.sources.scratch import store
+
+log = logging.getLogger(__name__)
 
 
 def vector_topk(chunks: DataFrame, query: list[float], k: int, metric: str = "l2") -> DataFrame:
@@ -23,9 +28,21 @@ def vector_topk(chunks: DataFrame, query: list[float], k: int, metric: str = "l2
     return rows.orderBy("d", "id").limit(k)
 
 
-def text_topk(chunks: DataFrame, query: str, k: int, params: Params = Params()) -> DataFrame:
-    """id and score of the k best chunks by BM25; ties go to the smaller id."""
-    return bm25(chunks, query, params).orderBy(F.desc("score"), "id").limit(k)
+def text_topk(chunks: DataFrame, query: str, k: int, params: Params = Params(), keywords: str | None = None) -> DataFrame:
+    """id and score of the k best chunks by BM25, from the keyword index at ``keywords`` if given; ties go to the smaller id."""
+    found = bm25(chunks, query, params) if keywords is None else keyword_index.search(chunks.sparkSession, keywords, query, params)
+    return found.orderBy(F.desc("score"), "id").limit(k)
+
+
+def _leg(make: Callable[[], DataFrame], none: DataFrame, tolerant: bool) -> DataFrame:
+    """A leg's few rows. A ``tolerant`` search works them out at once, and goes on without a leg that fails."""
+    if not tolerant:
+        return make()
+    try:
+        return store(make(), "leg")
+    except Exception as e:  # whatever fails in it: the other leg's results are wanted
+        log.warning("A leg of the search failed: %s", e)
+        return none
 
 
 def scaled(value: Column) -> Column:
@@ -35,21 +52,24 @@ def scaled(value: Column) -> Column:
     return F.when(hi == lo, F.lit(1.0)).otherwise((value - lo) / (hi - lo))
 
 
-def candidates(chunks: DataFrame, vector: list[float] | None, query: str | None, params: Params = Params()) -> DataFrame:
-    """Merged rows id, v, t, boost and score; either leg may be left out and then counts 0."""
+def candidates(chunks: DataFrame, vector: list[float] | None, query: str | None, params: Params = Params(), keywords: str | None = None, tolerant: bool = False) -> DataFrame:
+    """Merged rows id, v, t, boost and score; either leg may be left out, or fail in a ``tolerant`` search, and then counts 0."""
     p = params
-    none = chunks.select("id", F.lit(0.0).alias("x")).where("false")
-    v = vector_topk(chunks, vector, p.candidates, p.metric).select("id", scaled(1 - F.col("d")).alias("v")) if vector is not None else none.withColumnRenamed("x", "v")
-    t = text_topk(chunks, query, p.candidates, p).select("id", scaled(F.col("score")).alias("t")) if query else none.withColumnRenamed("x", "t")
+    none = lambda name: chunks.select("id", F.lit(0.0).alias(name)).where("false")
+    v, t = none("v"), none("t")
+    if vector is not None:
+        v = _leg(lambda: vector_topk(chunks, vector, p.candidates, p.metric).select("id", scaled(1 - F.col("d")).alias("v")), v, tolerant)
+    if query:
+        t = _leg(lambda: text_topk(chunks, query, p.candidates, p, keywords).select("id", scaled(F.col("score")).alias("t")), t, tolerant)
     both = v.join(t, "id", "full_outer").select("id", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("t", F.lit(0.0)).alias("t"))
     found = both.join(chunks.select("id", "source", "content"), "id")
     boost = trunk_boost(trunk_distance(F.col("source")))
     return found.withColumn("boost", boost).withColumn("score", F.round(p.vector_weight * F.col("v") + p.text_weight * F.col("t") + p.trunk_weight * boost, 6))
 
 
-def hybrid_search(chunks: DataFrame, vector: list[float] | None, query: str | None, params: Params = Params(), rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, vector: list[float] | None, query: str | None, params: Params = Params(), rerank: Callable[[Column, Column], Column] | None = None, keywords: str | None = None, tolerant: bool = False) -> DataFrame:
     """The ``top_k`` best chunks: rank, id, source, content, score. A reranker rescores the merged candidates."""
-    found = candidates(chunks, vector, query, params)
+    found = candidates(chunks, vector, query, params, keywords, tolerant)
     if rerank is not None and query:
         found = found.withColumn("score", F.round(F.coalesce(rerank(F.lit(query), F.col("content")), F.lit(0.0)), 6))
     order = [F.desc("score"), F.desc("v"), F.desc("t"), "id"]

@@ -13,8 +13,8 @@ from mossgrove.functions.paths import stem
 from mossgrove.functions.text import title_of
 from mossgrove.model import CHUNKS, TASKS, Params
 from mossgrove.operators import cluster, graph, hybrid, queue, rollup, routing
-from mossgrove.sources import chunking, files, sinks
-from mossgrove.sources.scratch import store
+from mossgrove.sources import chunking, files, keyword_index, sinks
+from mossgrove.sources.scratch import delete, store
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,11 +22,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def index_tree(spark: SparkSession, root: str, table: str, full: bool = False, embed: Callable[[Column], Column] = models.embed_words, model: str = "words", prune: bool = True) -> DataFrame:
+def index_tree(spark: SparkSession, root: str, table: str, full: bool = False, embed: Callable[[Column], Column] = models.embed_words, model: str = "words", prune: bool = True, keywords: str | None = None) -> DataFrame:
     """Brings the chunk table up to date with the files below ``root``; one row: scanned, skipped, indexed, removed, chunks, errors.
 
     Only new and changed files are chunked and embedded; a file's chunks replace its old ones also if it has none
-    now; files that are gone leave the table. ``full`` starts anew.
+    now; files that are gone leave the table. ``full`` starts anew. The keyword index at ``keywords`` follows by source; it
+    goes first, so that a run that stops in between is done again.
     """
     scanned = store(files.scan_tree(spark, root), "scan")
     old = spark.read.schema(CHUNKS).parquet(table) if exists(spark, table) and not full else spark.createDataFrame([], CHUNKS)
@@ -35,6 +36,10 @@ def index_tree(spark: SparkSession, root: str, table: str, full: bool = False, e
     made = chunking.embedded(chunking.chunk(todo, model=model), embed).withColumn("indexed_at", F.current_timestamp())
     new = store(made.select(*old.columns), "chunks")
     gone = plan.where(F.col("decision").isin(["index", "remove"] if prune else ["index"])).select("source")
+    if keywords is not None:
+        if full:
+            delete(spark, keywords)
+        keyword_index.update(spark, keywords, new, gone)
     sinks.replace_table(old.join(gone, "source", "left_anti").select(*old.columns).unionByName(new), table)
     count = lambda d: F.count_if(F.col("decision") == d).alias({"index": "indexed", "skip": "skipped", "remove": "removed"}[d])
     return plan.agg(*(count(d) for d in ("index", "skip", "remove"))).select("*", new.agg(F.count("*")).scalar().alias("chunks"), files.unreadable(scanned).select("scanned").scalar().alias("scanned"), files.unreadable(scanned).select("errors").scalar().alias("errors"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ from mossgrove.functions.text import candidate_listing, tokens
 from mossgrove.model import Params
 from mossgrove.operators import bm25, cluster, hybrid
 from mossgrove.plans.catalog import PATH, chunks, documents, query, query_vector, table
+from mossgrove.sources import keyword_index
+from mossgrove.sources.scratch import own, place
 
 QUERY = "apache license version wisdom apache"
 PHRASE = "apache-license the"
 WORDS = r"'[\p{L}\p{N}]+'"
-TOKENS = rf"regexp_extract_all(lower(concat_ws(' ', text, '', {PATH})), {WORDS})"
+TOKENS = rf"regexp_extract_all(strip_accents(lower(concat_ws(' ', text, '', {PATH}))), {WORDS})"
 
 
 def _bm25_sql(terms: list[list[str]]) -> str:
@@ -71,15 +75,39 @@ def bm25_phrase(spark, d):
     return hybrid.text_topk(documents(spark, d), PHRASE, 20).select("id", F.round("score", 6).alias("score"))
 
 
+def _index(spark, d):
+    """The keyword index of the documents, built by the first query that asks for it."""
+    path = f"{own(spark)}/keywords-{crc32(d.encode())}"
+    if not keyword_index.version(spark, path):
+        keyword_index.update(spark, path, documents(spark, d).withColumn("id", F.col("id").cast("string")))
+    return path
+
+
 @query(f"WITH {_bm25_sql([['apache'], ['license']])} SELECT id::VARCHAR AS id, round(score, 6) AS score FROM bm")
 def bm25_stored_index(spark, d):
-    from zlib import crc32
+    return keyword_index.search(spark, _index(spark, d), "apache license").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql([['apache', 'license'], ['the'], ['in', 'the', 'in']])} SELECT id::VARCHAR AS id, round(score, 6) AS score FROM bm")
+def bm25_phrase_stored(spark, d):
+    """Phrases, diacritics and repeats from the index's positions."""
+    return keyword_index.search(spark, _index(spark, d), "Äpache-licënse THE in-the-in").select("id", F.round("score", 6).alias("score"))
+
+
+_AFTER = f"(SELECT doc_id, lang, source, CASE WHEN doc_id % 100 = 7 THEN concat('Apache license, new: ', text) ELSE text END AS text FROM documents WHERE doc_id % 100 <> 9)"
 
-    from mossgrove.sources.scratch import root
 
-    path = f"{root(spark)}/index-{crc32(d.encode())}"
-    bm25.write_index(documents(spark, d).withColumn("id", F.col("id").cast("string")), path)
-    return bm25.indexed_bm25(spark, path, "apache license").select("id", F.round("score", 6).alias("score"))
+@query(f"WITH {_bm25_sql([['apache', 'license'], ['new']]).replace('FROM documents', f'FROM {_AFTER}')} SELECT id::VARCHAR AS id, round(score, 6) AS score FROM bm")
+def bm25_index_upkeep(spark, d):
+    """An index of which one source in a hundred changed, one left, and one left and came back, over three updates and a merge."""
+    rows = documents(spark, d).withColumn("id", F.col("id").cast("string"))
+    path = place(spark, "upkeep")
+    keyword_index.update(spark, path, rows)
+    changed = rows.where("id % 100 = 7").withColumn("content", F.concat(F.lit("Apache license, new: "), "content"))
+    keyword_index.update(spark, path, changed, rows.where("id % 100 IN (8, 9)"))
+    keyword_index.update(spark, path, rows.where("id % 100 = 8"))
+    keyword_index.merge(spark, path, 2)
+    return keyword_index.search(spark, path, "apache-license new").select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id AS id, round(list_distance(embedding::DOUBLE[], {_Q}), 6) AS d FROM documents JOIN embeddings ON doc_id = vec_id ORDER BY list_distance(embedding::DOUBLE[], {_Q}), id LIMIT 20")

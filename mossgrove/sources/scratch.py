@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -20,13 +21,14 @@ def root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _own(spark: SparkSession) -> str:
+def own(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{root(spark)}/mossgrove/{spark.sparkContext.applicationId}"
 
 
 def place(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder, at which nothing lies yet."""
-    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{own(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -53,6 +55,15 @@ def drop(df: DataFrame | None) -> None:
         delete(df.sparkSession, path)
 
 
+#: Rows of a stored table up to which it is sent to every executor; of more it is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small(stored: DataFrame) -> DataFrame:
+    """A table of narrow rows, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that this application stored; what was read from them can't be read again."""
-    delete(spark, _own(spark))
+    delete(spark, own(spark))
