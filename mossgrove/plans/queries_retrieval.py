@@ -11,7 +11,7 @@ from mossgrove.functions import costs, models, vectors
 from mossgrove.functions.paths import is_protected, trunk_boost, trunk_distance
 from mossgrove.functions.text import candidate_listing, tokens
 from mossgrove.model import Params
-from mossgrove.operators import bm25, cluster, hybrid
+from mossgrove.operators import bm25, cluster, evaluate, hybrid, many
 from mossgrove.plans.catalog import PATH, chunks, documents, query, query_vector, table
 from mossgrove.sources import keyword_index
 from mossgrove.sources.scratch import own, place
@@ -147,6 +147,56 @@ def existing_concept(spark, d):
     return hybrid.existing_concept(chunks(spark, d), query_vector(spark, d), QUERY, Params(concept_floor=0.4)).select("id", "source", "score")
 
 
+def _queries(spark, d):
+    """An item of the benchmark with the vector of its id is a query."""
+    e = table(spark, d, "embeddings").selectExpr("vec_id AS item_id", "embedding AS vector")
+    return table(spark, d, "benchmark").join(e, "item_id", "left").selectExpr("item_id AS qid", "text", "vector")
+
+
+_MANY = rf"""WITH q AS (SELECT item_id AS qid, text, embedding::DOUBLE[] AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+qs AS (SELECT qid, string_split_regex(trim(regexp_replace(replace(text, '"', ' '), '\s+', ' ', 'g')), ' ') AS ws FROM q),
+qw AS (SELECT qid, pos, regexp_extract_all(strip_accents(lower(word)), {WORDS}) AS p FROM (SELECT qid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM qs)),
+ph AS (SELECT DISTINCT p FROM qw WHERE len(p) > 0),
+d AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents),
+st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+tk AS (SELECT id, len(w) AS length, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS i FROM d),
+oc AS (SELECT p, id, length, count(*) AS tf FROM (
+  SELECT p, id, length FROM tk JOIN (SELECT * FROM ph WHERE len(p) = 1) ON term = p[1]
+  UNION ALL SELECT p, tk.id, length FROM tk JOIN (SELECT * FROM ph WHERE len(p) > 1) ON term = p[1] JOIN d ON d.id = tk.id WHERE w[i : i + len(p) - 1] = p) GROUP BY ALL),
+df AS (SELECT p, count(*) AS df, any_value((SELECT n FROM st)) AS n FROM oc GROUP BY p),
+idf AS (SELECT p, CASE WHEN ln((n - df + 0.5e0) / (df + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5e0) / (df + 0.5e0)) END AS idf FROM df),
+bm AS (SELECT qid, id, list_sum(list(idf * tf * 2.2e0 / (tf + 1.2e0 * (1 - 0.75e0 + 0.75e0 * length / mean)) ORDER BY pos)) AS score FROM qw JOIN oc USING (p) JOIN idf USING (p), st GROUP BY qid, id),
+t AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20),
+v AS (SELECT qid, doc_id AS id, list_distance(embedding::DOUBLE[], vector) AS d FROM documents JOIN embeddings ON doc_id = vec_id, q WHERE vector IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, id) <= 20),
+vs AS (SELECT qid, id, CASE WHEN max(d) OVER x = min(d) OVER x THEN 1e0 ELSE ((1 - d) - min(1 - d) OVER x) / (max(1 - d) OVER x - min(1 - d) OVER x) END AS v FROM v WINDOW x AS (PARTITION BY qid)),
+ts AS (SELECT qid, id, CASE WHEN max(score) OVER x = min(score) OVER x THEN 1e0 ELSE (score - min(score) OVER x) / (max(score) OVER x - min(score) OVER x) END AS t FROM t WINDOW x AS (PARTITION BY qid)),
+m AS (SELECT coalesce(vs.qid, ts.qid) AS qid, coalesce(vs.id, ts.id) AS id, coalesce(v, 0e0) AS v, coalesce(t, 0e0) AS t FROM vs FULL JOIN ts ON vs.qid = ts.qid AND vs.id = ts.id),
+s AS (SELECT m.*, {PATH} AS source, round(0.5e0 * v + 0.3e0 * t + 0.2e0 * (1e0 / (1 + {_DEPTH})), 6) AS score FROM m JOIN documents ON id = doc_id),
+h AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, v DESC, t DESC, id)::INT AS rank, id, source, score FROM s)"""
+
+
+@query(f"{_MANY} SELECT * FROM h WHERE rank <= 10")
+def hybrid_search_many(spark, d):
+    return many.hybrid_search(chunks(spark, d), _queries(spark, d), Params(top_k=10)).select("qid", "rank", "id", "source", "score")
+
+
+@query(f"""{_MANY}, e AS (SELECT item_id AS qid, list({PATH} ORDER BY {PATH}) AS expected FROM benchmark b JOIN documents ON contains(documents.text, b.text) GROUP BY item_id),
+g AS (SELECT qid, list(source ORDER BY rank) AS sources FROM h WHERE rank <= 5 GROUP BY qid),
+c AS (SELECT qid, coalesce(expected, []) AS expected, coalesce(sources, []) AS sources FROM q LEFT JOIN e USING (qid) LEFT JOIN g USING (qid)),
+r AS (SELECT *, list_filter(expected, lambda x: list_contains(sources, x)) AS hits FROM c)
+SELECT qid, len(expected)::INT AS expected, len(hits)::INT AS hits, round(CASE WHEN len(hits) > 0 THEN 1e0 / list_position(sources, hits[1]) ELSE 0 END, 6) AS rr, len(hits) = len(expected) AS passed FROM r""".replace("documents ON contains(documents.text", "(SELECT *, text AS body FROM documents) ON contains(body"))
+def eval_search_run(spark, d):
+    """Hybrid search run over a case for each item: the documents that hold its text whole are expected among the first five."""
+    asked = _queries(spark, d)
+    items = asked.agg(F.collect_list(F.struct("qid", "text"))).scalar()  # the cases, which are a given set
+    held = documents(spark, d).withColumn("items", items).select("source", F.explode(F.filter("items", lambda x: F.contains(F.col("content"), x["text"]))["qid"]).alias("qid"))
+    expected = held.groupBy("qid").agg(F.sort_array(F.collect_list("source")).alias("expected"))
+    none = F.array().cast("array<string>")
+    cases = asked.join(expected, "qid", "left").select("qid", "text", "vector", F.lit(5).alias("k"), F.coalesce("expected", none).alias("expected"), none.alias("unwanted"))
+    got = evaluate.run_search(chunks(spark, d), cases)
+    return got.select("qid", F.size("expected").alias("expected"), F.size("hits").alias("hits"), F.round("rr", 6).alias("rr"), "passed")
+
+
 _LIST = f"concat('[', rank, '] ', source, ' (trunk_distance: ', {_DEPTH.replace(PATH, 'source')}, ')', chr(10), left(content, 2000))"
 
 
