@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mossgrove.functions import models
 from mossgrove.model import Params
-from mossgrove.operators import many
+from mossgrove.operators import graph, many
 
 
 def judge_cases(cases: DataFrame) -> DataFrame:
@@ -16,6 +19,33 @@ def judge_cases(cases: DataFrame) -> DataFrame:
     return cases.withColumn("passed", ok & ((F.col("expected_verdict") != "REVISE") | F.coalesce(words, F.lit(True))))
 
 
+def run_judge(cases: DataFrame, judge: Callable[[Column, Column], Column]) -> DataFrame:
+    """judge_cases() of what ``judge`` gives the cases (parent, child, expected_verdict, expected_direction_keywords), and error.
+
+    A guarded judge that fails on a case fails that case only.
+    """
+    got = models.outcome(cases.withColumn("judgment", judge(F.col("parent"), F.col("child"))), "judgment")
+    verdict = F.coalesce("judgment.verdict", F.lit("FAILED"))
+    return judge_cases(got.withColumn("actual_verdict", verdict).withColumn("actual_direction", F.coalesce("judgment.direction", F.lit(""))).drop("judgment"))
+
+
+def run_cascades(pages: DataFrame, cases: DataFrame, judge: Callable[[Column, Column], Column] = models.judge_keep, executor: Callable[..., Column] = models.executor_echo, params: Params = Params()) -> DataFrame:
+    """case, actual_depth, actual_flag, expected_flag, errors and passed of cases (case, path, content, expected_flag).
+
+    Each case is a cascade of its own from a page whose content is the case's, all in the same few rounds; to the other cases
+    that page is as it was. The flag says
+    whether a protected page was reached; a case that expects none passes either way. Depth is -1 where a step failed.
+    """
+    new = cases.join(pages.select("path"), "path", "left_anti").groupBy("path").agg(F.min("content").alias("content"))
+    tree = pages.select("path", "content").unionByName(new)
+    rows = graph.cascade(tree, cases.select("case", "path", "content"), judge, executor, params, by=("case",))
+    by = rows.groupBy("case").agg(F.max("depth").alias("depth"), F.max(F.col("verdict") == "PROMOTE").alias("flag"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    out = cases.select("case", "expected_flag").join(by, "case", "left")
+    errors, flag = F.coalesce("errors", F.lit(0)), F.coalesce("flag", F.lit(False))
+    out = out.select("case", F.when(errors > 0, F.lit(-1)).otherwise(F.coalesce("depth", F.lit(0))).alias("actual_depth"), flag.alias("actual_flag"), "expected_flag", errors.alias("errors"))
+    return out.withColumn("passed", F.col("actual_flag") | ~F.col("expected_flag"))
+
+
 def judge_metrics(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(0.0)).alias("accuracy"))
 

@@ -46,28 +46,39 @@ def with_references(paths: DataFrame, refs: DataFrame) -> DataFrame:
     return paths.join(refs.select(F.col("child").alias("path")), "path", "left_semi")
 
 
-def cascade(pages: DataFrame, start: DataFrame, judge: Callable[[Column, Column], Column] = models.judge_revise, executor: Callable[[Column, Column, Column], Column] = models.executor_echo, params: Params = Params(), refs: DataFrame | None = None) -> DataFrame:
-    """path, depth, verdict, content: what a change to ``start`` (path) does to the pages that refer to it, and on.
+def cascade(pages: DataFrame, start: DataFrame, judge: Callable[[Column, Column], Column] = models.judge_revise, executor: Callable[[Column, Column, Column], Column] = models.executor_echo, params: Params = Params(), refs: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """path, depth, verdict, content, error: what a change to ``start`` (path) does to the pages that refer to it, and on.
 
     Level by level, at most ``cascade_depth`` deep. A protected page is promoted and isn't judged; KEEP and REJECT
     stop; REVISE rewrites the page and goes on from it. A page that changed is not a start again, so cycles end.
     Depth is the least distance. One row a page and level at most.
+
+    ``by`` names columns of ``start`` that tell cascades apart: each of their values is a cascade of its own, all of them
+    taken level by level together. Where ``start`` has content, that is what changed, else the page's own. A guarded
+    judge or executor that fails stops at its page, with verdict FAILED and its error.
     """
+    by, on = list(by), [*by, "path"]
     refs = store(refs if refs is not None else references(pages), "refs")
-    first = store(start.select("path").distinct(), "start")
-    front = store(first.join(pages.select("path", F.col("content").alias("child_content")), "path"), "front")
+    first = store(start.select(*on).distinct(), "start")
+    changed = start.select(*on, F.col("content").alias("child_content")).groupBy(*on).agg(F.min("child_content").alias("child_content")) if "content" in start.columns else first.join(pages.select("path", F.col("content").alias("child_content")), "path")
+    front = store(changed.select(*on, "child_content"), "front")
     out = None
     for depth in range(1, params.cascade_depth + 1):
-        met = front.join(refs.select(F.col("child").alias("path"), "parent"), "path").groupBy("parent").agg(F.min_by("child_content", "path").alias("child_content"))
-        met = met if out is None else met.join(out.select(F.col("path").alias("parent")), "parent", "left_anti")
+        met = front.join(refs.select(F.col("child").alias("path"), "parent"), "path").groupBy(*by, "parent").agg(F.min_by("child_content", "path").alias("child_content"))
+        met = met if out is None else met.join(out.select(*by, F.col("path").alias("parent")), [*by, "parent"], "left_anti")
         judged = met.join(pages.select(F.col("path").alias("parent"), "content"), "parent")
-        judged = judged.withColumn("j", F.when(~is_protected(F.col("parent"), params.protected), judge(F.col("content"), F.col("child_content"))))
-        verdict = F.when(F.col("j").isNull(), F.lit("PROMOTE")).otherwise(F.upper(F.col("j.verdict")))
-        text = F.when(verdict == "REVISE", executor(F.col("content"), F.col("j.direction"), F.col("child_content"))).otherwise(F.col("content"))
-        level = store(judged.select(F.col("parent").alias("path"), F.lit(depth).alias("depth"), verdict.alias("verdict"), text.alias("content")), "level")
+        judged = models.outcome(judged.withColumn("j", F.when(~is_protected(F.col("parent"), params.protected), judge(F.col("content"), F.col("child_content")))), "j")
+        failed = F.col("error").isNotNull()
+        verdict = F.when(failed, F.lit("FAILED")).when(F.col("j").isNull(), F.lit("PROMOTE")).otherwise(F.upper(F.col("j.verdict")))
+        revised = F.when(verdict == "REVISE", executor(F.col("content"), F.col("j.direction"), F.col("child_content")))
+        done = models.outcome(judged.select(*by, "parent", "content", verdict.alias("verdict"), F.col("error").alias("judge_error"), revised.alias("text")), "text")
+        failed = F.coalesce("judge_error", "error")
+        verdict = F.when(failed.isNotNull(), F.lit("FAILED")).otherwise(F.col("verdict"))
+        level = done.select(*by, F.col("parent").alias("path"), F.lit(depth).alias("depth"), verdict.alias("verdict"), F.when(verdict == "REVISE", F.col("text")).otherwise(F.col("content")).alias("content"), failed.alias("error"))
+        level = store(level, "level")
         out = level if out is None else out.unionByName(level)
         drop(front)
-        front = store(level.where("verdict = 'REVISE'").join(first, "path", "left_anti").select("path", F.col("content").alias("child_content")), "front")
+        front = store(level.where("verdict = 'REVISE'").join(first, on, "left_anti").select(*on, F.col("content").alias("child_content")), "front")
         if not front.take(1):
             break
     return out

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrove.functions import models
 from mossgrove.functions.dates import parsed
-from mossgrove.functions.paths import stem
-from mossgrove.functions.text import title_of
+from mossgrove.functions.paths import is_protected, stem
+from mossgrove.functions.text import slug, title_of
 from mossgrove.model import CHUNKS, TASKS, Params
-from mossgrove.operators import cluster, graph, hybrid, queue, rollup, routing
+from mossgrove.operators import cluster, graph, hybrid, many, queue, rollup, routing
 from mossgrove.sources import chunking, files, keyword_index, sinks
 from mossgrove.sources.scratch import delete, store
 
@@ -76,19 +77,50 @@ def ingest(spark: SparkSession, path: str, chunks: DataFrame, pages: DataFrame,
 
 
 def consolidate(spark: SparkSession, pages: DataFrame, chunks: DataFrame, embed=models.embed_words, executor=models.executor_echo, params: Params = Params()) -> DataFrame:
-    """leader, members, content, action and path of the concept pages made from clusters of pages (id, path, content)."""
+    """leader, n_files, page, action, content and error of the concept pages made from clusters of pages (id, path, content).
+
+    A cluster's concept is the best hit of a hybrid search for its first 500 characters that scores the floor or more, is
+    no capture and is still there; it is revised, unless it is protected. All clusters are searched for in one pass. What
+    a guarded executor fails on is skipped with its error; other clusters go on.
+    """
     rows = pages.select("id", embed(F.left("content", F.lit(2000))).alias("embedding"))
     member = cluster.greedy_clusters(rows, cluster.similar_pairs(rows, params.cluster_threshold))
     named = member.join(pages, "id").select("leader", F.col("id").alias("pos"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    texts = cluster.cluster_content(named, params.cluster_chars)
-    from mossgrove.functions.paths import is_leaf, is_protected
-    from mossgrove.functions.text import slug
-
+    texts = store(cluster.cluster_content(named, params.cluster_chars), "clusters")
+    head = F.left("content", F.lit(500))
+    # the first hit that may be one decides, then whether it is protected
+    asked = store(texts.where(F.trim("content") != "").select(F.col("leader").alias("qid"), head.alias("text"), embed(head).alias("vector")), "asked")
+    there = pages.select(F.col("path").alias("source")).distinct()
+    matches = many.existing_concepts(chunks.join(there, "source", "left_semi"), asked, replace(params, protected=()))
     first = texts.join(pages.select(F.col("id").alias("leader"), "path", F.col("content").alias("lead")), "leader")
-    page = F.concat(F.lit("concepts/"), slug(F.col("path"), F.col("lead")), F.lit(".md"))
-    found = first.withColumn("page", page).join(chunks.select(F.col("source").alias("match")).distinct(), F.col("page") == F.col("match"), "left")
-    found = cluster.concept_actions(found.withColumn("protected", F.coalesce(is_protected(F.col("match"), params.protected) | is_leaf(F.col("match"), params.leaf_prefixes), F.lit(False))))
-    return found.select("leader", "n_files", "page", "action", executor(F.col("content"), F.lit(""), F.lit("")).alias("content"))
+    first = first.join(matches.select(F.col("qid").alias("leader"), F.col("source").alias("match")), "leader", "left")
+    found = cluster.concept_actions(first.withColumn("protected", F.coalesce(is_protected(F.col("match"), params.protected), F.lit(False))))
+    old = pages.groupBy(F.col("path").alias("match")).agg(F.min("content").alias("old"))
+    found = found.join(old, "match", "left")
+    revise = F.col("action") == "revised"
+    n = F.col("n_files").cast("string")
+    ask = F.when(revise, F.concat(F.lit("Bring this page up to date with "), n, F.lit(" related files; keep what it says, add what is new, link related pages."))).otherwise(F.concat(F.lit("Write one page from "), n, F.lit(" related files: a heading that names the topic, details and conclusions, links to related pages.")))
+    made = F.when(F.col("action") != "skipped", executor(F.when(revise, F.col("old")).otherwise(F.col("content")), ask, F.col("content")))
+    done = models.outcome(found.withColumn("made", made), "made")
+    error = F.when(F.col("action") == "skipped", F.lit("empty cluster content")).otherwise(F.col("error"))
+    page = F.when(revise, F.col("match")).otherwise(F.concat(F.lit("concepts/"), slug(F.col("path"), F.coalesce("made", "lead")), F.lit(".md")))
+    text = F.when(revise, F.col("made")).otherwise(F.concat(F.lit("---\ncreated_by: consolidate\nsources: "), n, F.lit("\n---\n\n"), "made", F.lit("\n")))
+    ok = error.isNull()
+    return done.select("leader", "n_files", F.when(ok, page).alias("page"), F.when(ok, F.col("action")).otherwise(F.lit("skipped")).alias("action"), F.when(ok, text).alias("content"), error.alias("error"))
+
+
+def consolidate_run(spark: SparkSession, pages: DataFrame, chunks: DataFrame, **plugs) -> dict[str, DataFrame]:
+    """A whole run of consolidate(): results, pages after it, tasks (cascades of what changed) and a row for the log.
+
+    Clusters that would write the same page write it once: the cluster with the least leader does.
+    """
+    results = store(consolidate(spark, pages, chunks, **plugs), "consolidated")
+    written = results.where("page IS NOT NULL").groupBy(F.col("page").alias("path")).agg(F.min_by("content", "leader").alias("content"))
+    after = pages.select("path", "content").join(written, "path", "left_anti").unionByName(written)
+    count = lambda a: F.count_if(F.col("action") == a)
+    log = results.agg(F.lit("batch_consolidate").alias("event"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("files_total"), F.count("*").alias("clusters"), count("created").alias("created"), count("revised").alias("revised"), count("skipped").alias("skipped"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    tasks = written.select(F.lit("cognitive_cascade").alias("type"), "path", F.lit(5).alias("priority"))
+    return {"results": results, "pages": after, "tasks": tasks, "log": log}
 
 
 def wake(files_: DataFrame, executor: Callable[[Column], Column] | None = None, params: Params = Params()) -> DataFrame:

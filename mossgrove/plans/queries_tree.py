@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mossgrove.functions import dates, paths, text
+from mossgrove.functions import dates, models, paths, text
 from mossgrove.functions.hashing import content_hash
 from mossgrove.model import Params
-from mossgrove.operators import graph, rollup
+from mossgrove.operators import evaluate, graph, rollup
 from mossgrove.plans.catalog import MIXED, PATH, WIKI, documents, query, sql_table, table
+from mossgrove.plans.split import columns
 from mossgrove.sources import chunking, files, sinks
 
 _NL = "chr(10)"
@@ -187,6 +188,21 @@ def cascade_stats(spark, d):
     return graph.cascade_stats(rows).select(F.size("files_changed").alias("changed"), F.size("promoted").alias("promoted"), "max_depth")
 
 
+_CASES = "SELECT doc_id AS k, path, path LIKE 'p%' AS expected FROM (SELECT doc_id, " + WIKI.removeprefix("SELECT ").partition(" AS path")[0] + " AS path FROM documents) WHERE doc_id % 50 = 1"
+
+
+@query(f"""WITH RECURSIVE {_W}, cs AS ({_CASES}),
+x(k, home, path, depth, go) AS (SELECT k, path, path, 0, true FROM cs UNION SELECT x.k, x.home, r.parent, x.depth + 1, r.parent <> x.home AND string_split(r.parent, '/')[-1] <> 'MEMORY.md' FROM x JOIN r ON r.child = x.path WHERE x.go AND x.depth < 5),
+y AS (SELECT k, max(m)::INT AS depth, bool_or(path LIKE '%/MEMORY.md') AS flag FROM (SELECT k, path, min(depth) AS m FROM x WHERE depth > 0 GROUP BY k, path) GROUP BY k)
+SELECT k AS "case", coalesce(depth, 0) AS actual_depth, coalesce(flag, false) AS actual_flag, coalesce(flag, false) OR NOT expected AS passed FROM cs LEFT JOIN y USING (k)""")
+def eval_cascade_run(spark, d):
+    """A cascade from each page of a set of cases, all together, level by level."""
+    w = wiki(spark, d)
+    ids = table(spark, d, "documents").selectExpr("doc_id", *columns(WIKI.removeprefix("SELECT ").rpartition(" FROM ")[0]))
+    cases = ids.where("doc_id % 50 = 1").select(F.col("doc_id").alias("case"), "path", "content", F.col("path").startswith("p").alias("expected_flag"))
+    return evaluate.run_cascades(w, cases, models.judge_revise).select("case", "actual_depth", "actual_flag", "passed")
+
+
 _INDEX = f"""w AS ({WIKI}),
 ds AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:i], '/') AS dir FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS i FROM w)),
 ls AS (SELECT regexp_replace(regexp_replace(dir, '[^/]*$', ''), '/$', '') AS dir, string_split(dir, '/')[-1] AS name, concat('- [[', dir, '/]] — ', string_split(dir, '/')[-1]) AS line FROM ds
