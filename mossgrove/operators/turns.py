@@ -25,17 +25,23 @@ def block_text(blocks: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, "\n"), r"(?U)^\s+|\s+$", "")
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """session, line, role, timestamp, content of the lines (session, line, value) that are turns; bad JSON is skipped."""
+def marked(lines: DataFrame) -> DataFrame:
+    """session, line, role, timestamp, content and is_turn of lines (session, line, value); bad JSON is no turn."""
     e = lines.withColumn("e", F.from_json("value", _LINE)).select("session", "line", "value", "e.*")
     raw = F.col("message.content")
     blocks = F.from_json(raw, BLOCKS)
     listed = F.get_json_object("value", "$.message.content[0]").isNotNull() & raw.startswith("[")
     content = F.when(listed, block_text(blocks)).otherwise(raw)
-    rows = e.where(F.col("type").isin(*ROLES) & F.col("message.role").isin(*ROLES))
+    known = F.col("type").isin(*ROLES) & F.col("message.role").isin(*ROLES)
     when = F.coalesce(F.nullif(F.col("timestamp"), F.lit("")), F.col("message.timestamp"), F.lit(""))
-    rows = rows.select("session", "line", F.col("message.role").alias("role"), when.alias("timestamp"), content.alias("content"), listed.alias("listed"))
-    return rows.where("content IS NOT NULL AND NOT (listed AND content = '')").drop("listed")
+    rows = e.select("session", "line", F.col("message.role").alias("role"), when.alias("timestamp"), content.alias("content"), listed.alias("listed"), known.alias("known"))
+    ok = F.coalesce(F.col("known") & F.col("content").isNotNull() & ~(F.coalesce("listed", F.lit(False)) & (F.col("content") == "")), F.lit(False))
+    return rows.select("session", "line", "role", "timestamp", "content", ok.alias("is_turn"))
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """session, line, role, timestamp, content of the lines (session, line, value) that are turns; bad JSON is skipped."""
+    return marked(lines).where("is_turn").drop("is_turn")
 
 
 def numbered(turns: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from mossgrove.functions.hashing import task_id
 from mossgrove.model import ACTIONS
 from mossgrove.operators import evaluate, metrics, private, queue, routing, turns
 from mossgrove.plans.catalog import LOG, TASKS, query, sql_table, table
+from mossgrove.streaming import keyed
 
 _NL = "chr(10)"
 
@@ -297,20 +298,19 @@ def audit_lines(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat_ws("\t", F.lit("read"), scrub(F.concat("event_type", F.lit("\t"), "user_id")), F.lit("-")).alias("line"))
 
 
-@query()
+@query(f"WITH {_TURNS} SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) AS turn_number, false AS late FROM tt")
 def stream_turns(spark, d):
-    """Turns captured from a stream of transcript files, numbered by stateful processing."""
-    from mossgrove.streaming.capture import replay
-
-    return replay(spark, transcript(spark, d))
+    """Turns captured from a stream of transcript lines that come in the wrong order: two thirds of them before those they follow."""
+    return keyed.replay(transcript(spark, d).repartition(3, "session"), (F.col("line") + 1) % 3, keyed.capture)
 
 
-@query()
+@query(f"""WITH t AS ({TASKS}), l AS (SELECT *, last_value(CASE WHEN status IN ('pending', 'done', 'failed') THEN status END IGNORE NULLS) OVER (PARTITION BY type, path, parent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)
+SELECT pos, type, path, parent, status FROM l WHERE status IS DISTINCT FROM 'pending' OR before IS DISTINCT FROM 'pending'""")
 def stream_queue(spark, d):
-    """The queue after a stream of task files, each batch deduplicated against what is pending."""
-    from mossgrove.streaming.changes import replay
-
-    return replay(spark, tasks(spark, d).where("status IS NOT NULL").select("pos", "type", "path", "parent", "status"))
+    """The queue after a stream of tasks and of what became of them, each deduplicated against what is pending in state."""
+    rows = tasks(spark, d).select("pos", "type", "path", "parent", "status")
+    last = rows.agg(F.max("pos")).scalar()
+    return keyed.replay(rows.repartition(3, "path").withColumn("wave", F.floor(3 * F.col("pos") / (last + 1))), F.col("wave"), keyed.enqueue)
 
 
 @query()

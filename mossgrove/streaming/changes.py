@@ -1,17 +1,14 @@
-"""Changes of files as a stream: which count, what tasks they make, and the queue they end up in."""
+"""Changes of files as a stream: which count, and what tasks they make."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrove.functions.paths import is_identity, is_leaf, is_watched
 from mossgrove.model import Params
-from mossgrove.operators import queue
-from mossgrove.sources.scratch import drop, root, store
+from mossgrove.sources.scratch import drop, store
 from mossgrove.sources.sinks import read_table, replace_table
 
 
@@ -73,24 +70,3 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
     plain = F.replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), F.lit(folder.rstrip("/") + "/"), F.lit(""))
     return files.select(plain.alias("source"), F.col("modificationTime").alias("mtime"))
-
-
-def enqueue_batches(table: str):
-    """A foreachBatch function that adds tasks to the queue at ``table``, deduplicated against what is pending there."""
-
-    def run(batch: DataFrame, n: int) -> None:
-        old = read_table(batch.sparkSession, table)
-        replace_table(queue.enqueue(old, batch.withColumn("status", F.lit("pending")).select(*old.columns)), table)
-
-    return run
-
-
-def replay(spark: SparkSession, tasks: DataFrame, files: int = 3) -> DataFrame:
-    """The queue after ``tasks`` came as a stream of files, batch by batch."""
-    at = f"{root(spark)}/stream-{uuid.uuid4().hex}"
-    tasks.repartition(files, F.col("pos") % files).write.parquet(f"{at}/in")
-    tasks.limit(0).write.parquet(f"{at}/queue")
-    stream = spark.readStream.schema(tasks.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    q = stream.writeStream.foreachBatch(enqueue_batches(f"{at}/queue")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(tasks.schema).parquet(f"{at}/queue")
