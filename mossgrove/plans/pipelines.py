@@ -34,7 +34,7 @@ def index_tree(spark: SparkSession, root: str, table: str, full: bool = False, e
     old = spark.read.schema(CHUNKS).parquet(table) if exists(spark, table) and not full else spark.createDataFrame([], CHUNKS)
     plan = store(chunking.incremental(scanned.where("content IS NOT NULL").select("source", "mtime"), old.select("source", "indexed_at")), "plan")
     todo = scanned.join(plan.where("decision = 'index'").select("source"), "source", "left_semi")
-    made = chunking.embedded(chunking.chunk(todo, model=model), embed).withColumn("indexed_at", F.current_timestamp())
+    made = chunking.embedded(chunking.chunk_within(todo, model=model), embed).withColumn("indexed_at", F.current_timestamp())
     new = store(made.select(*old.columns), "chunks")
     gone = plan.where(F.col("decision").isin(["index", "remove"] if prune else ["index"])).select("source")
     if keywords is not None:

@@ -97,6 +97,28 @@ def chunk_sections(spark, d):
     return chunking.chunk(rows).select("source", "heading", "heading_level", "start_line", "end_line", "content_hash", "id")
 
 
+_SENTENCE = chunking.SENTENCE
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(x, {_NL})) AS line, generate_subscripts(string_split(x, {_NL}), 1) AS n FROM (SELECT doc_id, {_MARKDOWN} AS x FROM documents)),
+s AS (SELECT *, length(line) + 1 AS size, trim(line) = '' AS blank, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l),
+b AS (SELECT *, max(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN line END) OVER (PARTITION BY doc_id, section) AS head, sum(size) OVER (PARTITION BY doc_id, section ORDER BY n) - size AS before,
+  NOT blank AND lag(blank, 1, true) OVER (PARTITION BY doc_id, section ORDER BY n) AS begins FROM s),
+p AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, section ORDER BY n) AS par FROM b),
+w AS (SELECT *, min(before) OVER (PARTITION BY doc_id, section, par) AS start, sum(size) OVER (PARTITION BY doc_id, section, par) <= 300 AS whole FROM p),
+q AS (SELECT *, CASE WHEN whole OR size <= 300 THEN [line] ELSE flatten(list_transform(regexp_extract_all(line, '{_SENTENCE}'), lambda t: list_transform(range(0, length(t), 300), lambda i: substr(t, i + 1, 300)))) END AS parts FROM w),
+e AS (SELECT doc_id, section, head, n, whole, before, start, len(parts) AS total, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM q),
+f AS (SELECT *, floor(CASE WHEN whole THEN start ELSE before + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, section, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END / 300) AS piece FROM e),
+g AS (SELECT doc_id, section, piece, head, min(n)::INT AS start_line, max(n)::INT AS end_line, regexp_replace(string_agg(concat(part, CASE WHEN k = total - 1 THEN {_NL} ELSE '' END), '' ORDER BY n, k), '\n$', '') AS content FROM f GROUP BY ALL)
+SELECT concat(doc_id, '.md') AS source, coalesce(trim(regexp_replace(head, '^#{{1,6}}\s+', '')), '') AS heading, start_line, end_line, length(content)::INT AS chars, sha256(content) AS content_hash FROM g WHERE regexp_matches(content, '\S')"""
+)
+def chunk_within_limit(spark, d):
+    """Chunks of 600 characters at most: by paragraphs, lines, sentences and cuts."""
+    rows = table(spark, d, "documents").selectExpr("concat(doc_id, '.md') AS source", f"{_MARKDOWN} AS content")
+    return chunking.chunk_within(rows, 600).select("source", "heading", "start_line", "end_line", F.length("content").alias("chars"), "content_hash")
+
+
 @query(
     """WITH s AS (SELECT doc_id, n_chars AS mtime FROM documents WHERE doc_id % 10 <> 0), i AS (SELECT doc_id, max(n_chars + doc_id % 3 - 1) AS at FROM documents WHERE doc_id % 4 <> 0 GROUP BY doc_id)
 SELECT concat(coalesce(s.doc_id, i.doc_id), '.md') AS source, CASE WHEN s.doc_id IS NULL THEN 'remove' WHEN i.doc_id IS NULL OR s.mtime > i.at THEN 'index' ELSE 'skip' END AS decision FROM s FULL JOIN i ON s.doc_id = i.doc_id"""
@@ -120,11 +142,13 @@ def index_status(spark, d):
     return chunking.status(table(spark, d, "documents"), meta)
 
 
-@query("SELECT * FROM (VALUES ('dimension', '384'), ('model', 'new'), ('schema', '1')) t(key, value)")
+@query("""SELECT concat('k', doc_id) AS key, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN source WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 3 = 0 THEN source ELSE 'first' END AS value FROM documents""")
 def meta_upsert(spark, d):
-    old = spark.createDataFrame([("dimension", "384"), ("model", "old")], "key string, value string")
-    put = chunking.put_meta(old, spark.createDataFrame([("model", "new")], "key string, value string"))
-    return chunking.put_meta(put, spark.createDataFrame([("schema", "1"), ("dimension", "9")], "key string, value string"), replace=False).select("key", "value")
+    """Values that replace others, then values that are put only where there is none."""
+    rows = table(spark, d, "documents")
+    key = F.concat(F.lit("k"), "doc_id").alias("key")
+    put = chunking.put_meta(rows.where("doc_id % 2 = 0").select(key, F.col("lang").alias("value")), rows.where("doc_id % 3 = 0").select(key, F.col("source").alias("value")))
+    return chunking.put_meta(put, rows.select(key, F.lit("first").alias("value")), replace=False).select("key", "value")
 
 
 @query("SELECT lang AS path, arg_max(text, doc_id) AS content, max(doc_id) AS ver FROM documents GROUP BY lang")

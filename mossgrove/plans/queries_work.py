@@ -9,7 +9,7 @@ from mossgrove.functions import jsons
 from mossgrove.functions.hashing import task_id
 from mossgrove.model import ACTIONS
 from mossgrove.operators import evaluate, metrics, private, queue, routing, turns
-from mossgrove.plans.catalog import LOG, TASKS, query, sql_table, table
+from mossgrove.plans.catalog import LOG, TASKS, WIKI, half, query, sql_table, table, wiki_path
 from mossgrove.streaming import keyed
 
 _NL = "chr(10)"
@@ -177,19 +177,26 @@ def turn_markers(spark, d):
     return turns.marker(lines, turns.numbered(turns.parse(lines)))
 
 
-_RAW = "VALUES (1, 'Sure: [{\"action\": \"revise\", \"target\": \"a.md\", \"direction\": \"x\", \"reason\": \"r\"}, {\"action\": \"LINK\", \"target\": \"b.md\"}] done'), (2, '[]'), (3, '[{broken'), (4, '[{\"action\": \"EXPLODE\", \"target\": \"a\"}, {\"action\": \"task\", \"target\": \"c.md\", \"direction\": \"do\"}]'), (5, 'nothing here')"
-_REPLY = "VALUES (1, 'Well {\"seeing\": \"s\", \"verdict\": \"REVISE\", \"direction\": \"d\", \"reason\": \"r\"} ok'), (2, 'no object'), (3, '{broken'), (4, '{\"seeing\": \"only\"}')"
+_RAW = """CASE doc_id % 5 WHEN 0 THEN concat('Sure: [{"action": "revise", "target": "', lang, '/', doc_id, '.md", "direction": "x", "reason": "', n_chars, '"}, {"action": "LINK", "target": "', source, '.md"}] done')
+WHEN 1 THEN '[]' WHEN 2 THEN concat('[{broken ', doc_id) WHEN 3 THEN concat('[{"action": "EXPLODE", "target": "a"}, {"action": "task", "target": "', doc_id, '.md", "direction": "do"}]') ELSE 'nothing here' END"""
+_REPLY = """CASE doc_id % 4 WHEN 0 THEN concat('Well {"seeing": "', lang, '", "verdict": "REVISE", "direction": "', doc_id, '", "reason": "r"} ok') WHEN 1 THEN concat('no object ', doc_id)
+WHEN 2 THEN '{broken' ELSE concat('{"seeing": "', source, '"}') END"""
 
 
-@query("SELECT * FROM (VALUES (1, 'REVISE', 'a.md', 'x', 'r'), (1, 'LINK', 'b.md', '', ''), (4, 'TASK', 'c.md', 'do', '')) t(id, action, target, direction, reason)")
+@query("""SELECT doc_id AS id, 'REVISE' AS action, concat(lang, '/', doc_id, '.md') AS target, 'x' AS direction, n_chars::VARCHAR AS reason FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 'LINK', concat(source, '.md'), '', '' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'TASK', concat(doc_id, '.md'), 'do', '' FROM documents WHERE doc_id % 5 = 3""")
 def routing_parse(spark, d):
-    rows = spark.sql(f"SELECT * FROM {_RAW} AS t(id, raw)")
+    rows = table(spark, d, "documents").selectExpr("doc_id AS id", f"{_RAW} AS raw")
     return rows.select("id", F.explode(jsons.routing_actions(F.col("raw"))).alias("a")).select("id", "a.*")
 
 
-@query("SELECT * FROM (VALUES (1, 's', 'REVISE', 'd', 'r'), (2, 'no object', 'KEEP', '', 'Could not parse structured response.'), (3, '{broken', 'KEEP', '', 'Could not parse structured response.'), (4, 'only', 'KEEP', '', '')) t(id, seeing, verdict, direction, reason)")
+_UNREAD = "'KEEP', '', 'Could not parse structured response.'"
+
+
+@query(f"""SELECT doc_id AS id, lang AS seeing, 'REVISE' AS verdict, doc_id::VARCHAR AS direction, 'r' AS reason FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, concat('no object ', doc_id), {_UNREAD} FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, '{{broken', {_UNREAD} FROM documents WHERE doc_id % 4 = 2 UNION ALL SELECT doc_id, source, 'KEEP', '', '' FROM documents WHERE doc_id % 4 = 3""")
 def judgment_parse(spark, d):
-    return spark.sql(f"SELECT * FROM {_REPLY} AS t(id, raw)").select("id", jsons.judgment(F.col("raw")).alias("j")).select("id", "j.*")
+    return table(spark, d, "documents").selectExpr("doc_id AS id", f"{_REPLY} AS raw").select("id", jsons.judgment(F.col("raw")).alias("j")).select("id", "j.*")
 
 
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN 'plain text' ELSE text END AS reply FROM conversations WHERE text <> ''")
@@ -200,13 +207,22 @@ def reply_unwrap(spark, d):
     return c.select("conv_id", "turn", jsons.reply_text(raw).alias("reply"))
 
 
-_PAGES = f"SELECT * FROM (VALUES ('a.md', concat('# A', {_NL}, 'text')), ('b.md', concat('# B', {_NL}, '## related', {_NL}, '- [[x]]', {_NL}, 'end')), ('c.md', concat('# C', {_NL}, '## TODO', {_NL}, '- [ ] old')), ('concepts/MEMORY.md', 'm'), ('journal/j.md', 'j')) AS t(path, content)"
-_ACTIONS = "SELECT * FROM (VALUES (1, 'REVISE', 'a.md', 'd', 'b.md'), (2, 'REVISE', 'gone.md', 'd', 'b.md'), (3, 'REVISE', 'concepts/MEMORY.md', 'd', 'b.md'), (4, 'CREATE', 'journal/new.md', 'd', 'b.md'), (5, 'CREATE', 'new.md', 'd', 'b.md'), (6, 'CREATE', 'c.md', 'd', 'b.md'), (7, 'LINK', 'c.md', '', 'b.md'), (8, 'LINK', 'x.md', '', 'b.md'), (9, 'TASK', 'c.md', 'new one', 'b.md'), (10, 'TASK', 'c.md', 'old', 'b.md'), (11, 'TASK', 'gone.md', 't', 'b.md')) AS t(id, action, target, direction, source)"
+_ACTIONS = f"""SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'REVISE' WHEN 1 THEN 'CREATE' WHEN 2 THEN 'LINK' ELSE 'TASK' END AS action,
+CASE doc_id % 5 WHEN 0 THEN concat('journal/', doc_id, '.md') WHEN 1 THEN {wiki_path('doc_id')} WHEN 2 THEN concat('gone', doc_id, '.md') ELSE {wiki_path(half('doc_id'))} END AS target,
+CASE WHEN doc_id % 3 = 0 THEN concat('Page ', {half('doc_id')}) ELSE 'a new one' END AS direction, {wiki_path('doc_id')} AS source FROM documents"""
 
 
-@query("SELECT * FROM (VALUES (1, 'REVISE', true, NULL::VARCHAR), (2, 'REVISE', false, NULL), (3, 'PROMOTE', false, NULL), (4, 'CREATE', false, 'leaf-path'), (5, 'CREATE', true, NULL), (6, 'REVISE', true, NULL), (7, 'LINK', true, NULL), (8, 'LINK', false, NULL), (9, 'TASK', true, NULL), (10, 'TASK', false, NULL), (11, 'TASK', false, NULL)) t(id, outcome, executed, rejected_reason)")
+@query(f"""WITH a AS ({_ACTIONS}), w AS ({WIKI}),
+j AS (SELECT a.*, t.path IS NOT NULL AS there, coalesce(contains(t.content, direction), false) AS has, coalesce(contains(s.content, concat('[[', regexp_replace(target, '[.]md$', ''), ']]')), false) AS linked, s.path IS NOT NULL AS from_there,
+  action IN ('REVISE', 'CREATE') AND target LIKE 'journal/%' AS leaf, action = 'REVISE' AND string_split(target, '/')[-1] = 'MEMORY.md' AS guarded FROM a LEFT JOIN w t ON target = t.path LEFT JOIN w s ON source = s.path)
+SELECT id, CASE WHEN leaf THEN action WHEN guarded THEN 'PROMOTE' WHEN action = 'CREATE' AND there THEN 'REVISE' ELSE action END AS outcome,
+CASE WHEN leaf OR guarded THEN false WHEN action = 'REVISE' THEN there WHEN action = 'LINK' THEN from_there AND NOT linked WHEN action = 'TASK' THEN there AND NOT has ELSE true END AS executed, CASE WHEN leaf THEN 'leaf-path' END AS rejected_reason FROM j""")
 def routing_execute(spark, d):
-    return routing.decide(spark.sql(_ACTIONS), spark.sql(_PAGES)).select("id", "outcome", "executed", "rejected_reason")
+    from mossgrove.plans.split import columns
+
+    pages = sql_table(spark, d, WIKI, "documents")
+    actions = table(spark, d, "documents").selectExpr(*columns(_ACTIONS.removeprefix("SELECT ").rpartition(" FROM ")[0]))
+    return routing.decide(actions, pages).select("id", "outcome", "executed", "rejected_reason")
 
 
 @query(f"""SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN concat(regexp_replace(t, '\\s+$', ''), {_NL}, {_NL}, '## Related', {_NL}, {_NL}, '- [[', lang, '/x]]', {_NL}) WHEN 1 THEN concat(t, {_NL}, '## See also', {_NL}, '- [[', lang, '/x]]', {_NL}, 'end', {_NL}, '## Related', {_NL}, 'z') ELSE concat(t, '[[', lang, '/x]]') END AS content

@@ -340,3 +340,23 @@ def test_an_existing_file_is_routed_but_not_to_itself(spark, tmp_path):
     actions, changed = pipelines.route_file(spark, str(tmp_path), "a.md", chunks, seen, router=link)
     assert [(r.source, r.target, r.executed) for r in actions.collect()] == [("a.md", "b.md", True)]
     assert changed.first().path == "a.md" and "[[b]]" in changed.first().content
+
+
+def test_no_chunk_is_over_the_limit(spark):
+    """Long paragraphs, lines and sentences are parted; nothing is lost and lines keep their numbers."""
+    files_ = {
+        "a": "intro\n\n# One\n" + "Short line.\n" * 30 + "\nNext paragraph of words.\nWith two lines.\n\n" + "A sentence here! " * 40 + "\n" + "x" * 500 + "\nend",
+        "b": "", "c": "   \n\n", "d": "\n" * 300 + "late", "e": "é" * 1000, "f": "# only", "g": "Wait... what?! " * 60 + "\r\nnext\r\n", "h": "no end " * 100,
+    }
+    rows = spark.createDataFrame(list(files_.items()), "source string, content string")
+    for most in (100, 37, 2000):
+        got = {}
+        for r in chunking.chunk_within(rows, most).orderBy("source", "start_line", "end_line").collect():
+            assert len(r.content) <= most and r.content.strip()
+            lines = files_[r.source].split("\n")[r.start_line - 1 : r.end_line]
+            assert "".join(r.content.split()) in "".join("".join(lines).split())
+            got.setdefault(r.source, []).append(r)
+        for name, text_ in files_.items():
+            kept = sorted("".join("".join(r.content.split()) for r in got.get(name, [])))
+            assert kept == sorted("".join(text_.split())), (name, most)
+    assert [r.heading for r in chunking.chunk_within(rows, 100).where("source = 'a' AND start_line > 3").collect()][0] == "One"
