@@ -3,7 +3,8 @@
 Hosts whose pages the rules mostly allow are trusted seeds, those whose pages they mostly block are distrust
 seeds. Personalised PageRank runs from the trusted ones along the links and from the blocked ones against
 them (who links to bad hosts is suspect). Steps go on until no host's rank changes by more than ``TOLERANCE`` of
-itself, so every host that links reach is reached. A host is blocked if its distrust is over ``ratio`` times its trust.
+itself and of a seed's share. What moves shrinks with each step, so their number grows with the logarithm of the number
+of seeds, not with the longest chain of links; what is left out are hosts so far from any seed that less reaches them. A host is blocked if its distrust is over ``ratio`` times its trust.
 Links are aggregated to weighted host edges before any join, and each step is two aggregations over those.
 """
 
@@ -56,13 +57,17 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     """kind, host and rank of personalised PageRank, for both kinds of walk at once.
 
     ``links``: kind, src, dst, n. ``seeds``: kind, host, seed, whose sum is 1 for each kind. What reaches a host
-    without links goes back to the seeds. A step shrinks what is left by ``damping``, so steps end. A popular host's
-    links meet its rank dealt out over several tasks.
+    without links goes back to the seeds. A step shrinks what is left by ``damping``, and changes of less than ``tolerance``
+    of the kind's least seed count for nothing, so steps end. A popular host's links meet its rank dealt out over several
+    tasks.
     """
     out = links.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     flows = store(salted(links, out, ["kind", "src"], "dst").select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("part")), "flows")
     seeds = store(seeds, "seeds")
     now = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    least = F.lit(0.0)
+    for kind, seed in seeds.groupBy("kind").agg(F.min("seed")).collect():  # a row a kind
+        least = F.when(F.col("kind") == kind, F.lit(seed)).otherwise(least)
     moving = bool(flows.take(1))
     while moving:
         moved = salted(flows, now, ["kind", "host"], "dst").groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("part"))).alias("in"))
@@ -71,7 +76,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
         before = now.select("kind", "host", F.lit(0.0).alias("in"), F.col("rank").alias("was"))
         rows = moved.unionByName(back).withColumn("was", F.lit(0.0)).unionByName(before)
         then = store(rows.groupBy("kind", "host").agg(F.sum("in").alias("rank"), F.sum("was").alias("was")), "ranks")
-        moving = bool(then.where(F.abs(F.col("rank") - F.col("was")) > tolerance * F.col("rank")).take(1))
+        moving = bool(then.where(F.abs(F.col("rank") - F.col("was")) > tolerance * F.greatest(F.col("rank"), least)).take(1))
         drop(now)
         now = then
     return now
@@ -81,7 +86,7 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float =
     """page_id, host, path, rule and verdict of each row of ``pages`` (page_id, url, html).
 
     The verdict is the longest fitting rule's; else block where the host's distrust is over ``ratio`` times its
-    trust, else allow. A null url, or one without ``://``, has an empty host and path, no rule and is allowed. Hosts
+    trust, else allow. Urls and html of any length are read whole. An empty table gives no rows. A null url, or one without ``://``, has an empty host and path, no rule and is allowed. Hosts
     that no walk reaches are allowed. Null and repeated ids are judged row by row; other columns are ignored.
     """
     parts = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))

@@ -5,7 +5,9 @@ one is toxic if the word, or its start of 4 to 8 letters, is found in toxic docu
 others. The field is trained on those tags over whole texts: a word's features (itself and its starts) have weights if tagged
 words have them, whoever else has, and transitions say whether a tag goes on. Forward-backward gives each word's marginal; a document's
 score is the largest of its words' marginals, which does not grow with length as a product would, and words with
-a marginal of a half or more are its offending offsets. Chains end with a sentence and after ``CHAIN`` words, so a batch is a rectangle that numpy sweeps at once.
+a marginal of a half or more are its offending offsets. In scoring a chain is a sentence, however long; training takes texts in chains
+of ``CHAIN`` words, whose updates are many times cheaper than those of sentences and find as much. Chains of like lengths
+are a rectangle that numpy sweeps at once.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ THRESHOLD = 0.3
 STARTS = (4, 5, 6, 7, 8)
 KINDS = 1 + len(STARTS)
 CHAIN = 64
+#: Cells of a rectangle of sentences; a longer sentence is one of its own.
+SWEEP = 1 << 18
 EPOCHS, UPDATES, RATE = 6, 150, 0.5
 #: A word or a start is a sign of toxicity if its odds of being in a toxic document are at least so many times those of all
 #: words, and if that is by chance for less than this share of the signs.
@@ -169,12 +173,15 @@ class Field:
     def _sweep(self, e: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Marginals of words with log-odds ``e``, chains of like lengths together."""
         p = np.empty(len(e))
-        row, place = chains(begins)
-        count = np.bincount(row)
+        first = np.flatnonzero(begins)
+        count = np.diff(np.append(first, len(e)))
         order = np.argsort(count, kind="stable")
-        first = np.cumsum(count) - count
-        for lo in range(0, len(order), 1 << 12):
-            own = order[lo : lo + (1 << 12)]
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * count[order[hi]] <= SWEEP:
+                hi += 1
+            own, lo = order[lo:hi], hi
             n = count[own]
             live = np.arange(n.max()) < n[:, None]
             at = (first[own][:, None] + np.arange(n.max()))[live]

@@ -1,3 +1,4 @@
+import re
 import random
 import zlib
 
@@ -175,3 +176,20 @@ def test_one_clean_document_removes_no_word():
     field = toxicity.fit([*plain, "a clean gromblig0 text", "otro marfuzona texto", *toxic], [0] * 2_002 + [1] * 212)
     tag = field.tagger()
     assert [p.max() >= toxicity.THRESHOLD for p, _ in tag(["new gromblig0 here", "nuevo marfuzonc aqui", "everyday words go on"])] == [True, True, False]
+
+
+def test_a_long_sentence_is_one_chain():
+    """Marginals of a sentence of hundreds of words, among short ones, are those of the field over all of it."""
+    rng = np.random.default_rng(3)
+    field = toxicity.Field({"bad": 2.0, "worse": 0.7}, -1.5, np.array([[0.4, -0.6], [-0.2, 0.9]]))
+    long = " ".join(rng.choice(["bad", "worse", "so", "on"], 700).tolist())
+    texts = ["so bad. on", long, "", f"on. {long}! worse"]
+    for text, (p, _) in zip(texts, field.tagger()(texts)):
+        at = 0
+        for part in re.split(r"[.!?]", text):
+            words = part.split()
+            if words:
+                emit = np.array([[field.bias + field.weights.get(w, 0.0) for w in words]])
+                want = toxicity._marginals(emit, np.ones(emit.shape, bool), field.trans)[0][0]
+                assert np.allclose(p[at : at + len(words)], want)
+            at += len(words) + 1
