@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from mossgrove.functions.models import embed_words
 from mossgrove.functions.text import preview
 from mossgrove.model import CHUNKS, Params
-from mossgrove.operators import hybrid, metrics, queue
+from mossgrove.operators import evaluate, hybrid, metrics, queue
 from mossgrove.plans.pipelines import index_tree
 from mossgrove.session import session
 from mossgrove.sources import files, keyword_index, sinks
+from mossgrove.sources.scratch import store
 from mossgrove.streaming import changes, daemon
 
-COMMANDS = ("index", "write", "read", "status", "watch", "sleep", "queue", "daemon", "ingest", "metrics")
+COMMANDS = ("index", "write", "read", "status", "watch", "sleep", "queue", "daemon", "ingest", "metrics", "eval")
 
 
 def _queued(spark, table: str, rows):
@@ -46,10 +47,23 @@ def _handlers(spark, a) -> daemon.Handlers:
     return dict.fromkeys(("ingest", "route"), reindex)
 
 
+def _evaluated(spark, chunks, cases: str, snapshot: str | None) -> int:
+    """Runs search cases and prints a report; 1 if any case failed."""
+    none = F.array().cast("array<string>")
+    rows = spark.read.schema("qid string, text string, k int, expected array<string>, unwanted array<string>").json(cases)
+    rows = rows.select("qid", "text", F.coalesce("k", F.lit(Params().top_k)).alias("k"), F.coalesce("expected", none).alias("expected"), F.coalesce("unwanted", none).alias("unwanted"), embed_words(F.col("text")).alias("vector"))
+    top = rows.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0]
+    got = store(evaluate.run_search(chunks, rows, Params(top_k=top, candidates=max(top, Params().candidates))), "cases")
+    print(evaluate.text_report(got))
+    if snapshot:
+        print(evaluate.snapshot(got, snapshot).first().asDict())
+    return int(bool(got.where("NOT passed").take(1)))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="mossgrove")
     p.add_argument("command", choices=COMMANDS)
-    p.add_argument("words", nargs="*", help="read: the query; write: the entry's text; ingest: paths below the root")
+    p.add_argument("words", nargs="*", help="read: the query; write: the entry's text; ingest: paths below the root; eval: a JSON-lines file of cases (qid, text, k, expected, unwanted)")
     p.add_argument("--root", default=".")
     p.add_argument("--table", required=True, help="chunks; entries for write, a JSON-lines log for metrics")
     p.add_argument("--queue", help="the queue's table; beside the chunks by default")
@@ -57,6 +71,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--title", help="write: the entry's title")
     p.add_argument("--every", type=float, default=5.0, help="watch, daemon: seconds between polls")
     p.add_argument("--polls", type=int, help="daemon: how many polls, for ever by default")
+    p.add_argument("--snapshot", help="eval: where to keep the metrics, to compare the next run with")
     p.add_argument("--top", type=int, default=Params().top_k)
     p.add_argument("--full", action="store_true")
     a = p.parse_args(argv)
@@ -89,6 +104,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "status":
         chunks.agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("files"), F.max("indexed_at").alias("last_indexed")).show(truncate=False)
         return 0
+    if a.command == "eval":
+        return _evaluated(spark, chunks, a.words[0], a.snapshot)
     query = " ".join(a.words)
     vector = spark.range(1).select(embed_words(F.lit(query)).alias("v")).first()["v"]
     known = keywords if keyword_index.version(spark, keywords) else None

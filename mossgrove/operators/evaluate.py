@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,31 @@ def mean_latency(events: DataFrame) -> DataFrame:
     return events.agg(F.coalesce(F.avg(F.when(F.col("elapsed_ms") > 0, F.col("elapsed_ms"))), F.lit(0.0)).alias("mean_ms"))
 
 
+def text_report(cases: DataFrame, most: int = 50) -> str:
+    """A few lines for a terminal about search cases that run_search() has run: the totals, and the cases that failed."""
+    m = search_metrics(cases).first()
+    lines = [f"search: {m.passed} of {m.total} passed, MRR {m.mrr:.4f}, recall {m.recall_at_k:.4f}"]
+    for r in cases.where("NOT passed").orderBy("qid").limit(most).collect():
+        lines.append(f"  {r.qid}: " + "; ".join(f"{k} {', '.join(v)}" for k, v in (("missed", r.misses), ("unwanted", r.false_positives)) if v))
+    return "\n".join(lines)
+
+
+def snapshot(cases: DataFrame, path: str) -> DataFrame:
+    """Writes the metrics of run search cases as one JSON line below ``path``; the difference to what lay there before.
+
+    One row: each metric now, and its change since the last snapshot (null if there was none).
+    """
+    spark, now = cases.sparkSession, search_metrics(cases)
+    then = None
+    try:
+        then = spark.read.schema(now.schema).json(path).first()
+    except AnalysisException:  # the first snapshot
+        pass
+    row = now.first()
+    spark.createDataFrame([row], now.schema).coalesce(1).write.mode("overwrite").json(path)
+    return spark.createDataFrame([row], now.schema).select("*", *(F.lit(None if then is None else row[c] - then[c]).cast("double").alias(f"{c}_change") for c in now.columns))
+
+
 def report(**parts: DataFrame) -> DataFrame:
     """One row with one JSON text: each part's only row under its name."""
     spark = next(iter(parts.values())).sparkSession

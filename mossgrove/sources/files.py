@@ -58,8 +58,8 @@ def read_source(spark: SparkSession, path: str, params: Params = Params()) -> Da
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """METRICS rows of a JSON-lines log; lines that aren't JSON are skipped."""
-    return spark.read.schema(METRICS).option("mode", "DROPMALFORMED").json(path)
+    """METRICS rows of a JSON-lines log, all its generations; lines that aren't JSON are skipped."""
+    return spark.read.schema(METRICS).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(path)
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,39 @@ def write_turns(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("entity", "day").json(path)
 
 
-def append_metrics(rows: DataFrame, path: str, per_file: int = 100_000) -> None:
-    rows.write.mode("append").option("maxRecordsPerFile", per_file).json(path)
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The generations that a log has, oldest first."""
+    fs, here, *_ = _files(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(here)] if fs.exists(here) else []
+    return sorted(int(x[1:]) for x in names if x.startswith("g") and x[1:].isdigit())
+
+
+def rotate(spark: SparkSession, path: str, most_bytes: int = 10 << 20, keep: int = 4, most_age: float | None = None, now: float | None = None) -> str:
+    """The folder of the generation that a log is appended to: the last, or a new one if that is full or too old.
+
+    A generation is never renamed or rewritten: a new one begins with what is first written to it, and only then, by the
+    next call, do those beyond the last ``keep`` go. So a stop at any step loses no row that was to be kept. ``most_age`` is
+    in seconds since the generation's first file.
+    """
+    fs, here, *_ = _files(spark, path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    known = generations(spark, path)
+    for n in known[:-keep]:
+        fs.delete(where(f"{path}/g{n:08d}"), True)
+    last = known[-1] if known else 1
+    at = f"{path}/g{last:08d}"
+    if known:
+        files = [x for x in fs.listStatus(where(at)) if not x.getPath().getName().startswith(("_", "."))]
+        first = min((x.getModificationTime() / 1000 for x in files), default=None)
+        old = most_age is not None and first is not None and (time.time() if now is None else now) - first >= most_age
+        if old or sum(x.getLen() for x in files) >= most_bytes:
+            at = f"{path}/g{last + 1:08d}"
+    return at
+
+
+def append_metrics(rows: DataFrame, path: str, per_file: int = 100_000, **limits) -> None:
+    """Appends events to a log in generations; ``limits`` are those of rotate()."""
+    rows.write.mode("append").option("maxRecordsPerFile", per_file).json(rotate(rows.sparkSession, path, **limits))
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

@@ -63,8 +63,8 @@ def enqueue(events: DataFrame) -> DataFrame:
 class InTurn(StatefulProcessor):
     """Of a session, the next line, how many turns there were, and what waits for the lines before it."""
 
-    def __init__(self, patience_ms: int):
-        self.patience = patience_ms
+    def __init__(self, patience_ms: int, first: int = 0):
+        self.patience, self.first = patience_ms, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -73,7 +73,7 @@ class InTurn(StatefulProcessor):
 
     def _load(self) -> tuple[int, int, int, bool, dict[int, list], list[list[int]]]:
         if not self.state.exists():
-            return 0, 0, -1, False, {}, []
+            return self.first, 0, -1, False, {}, []
         next_, count, since, timer, waiting, missing = self.state.get()
         return next_, count, since, timer, {k: v for k, *v in json.loads(waiting)}, json.loads(missing)
 
@@ -133,8 +133,8 @@ class InTurn(StatefulProcessor):
         pass
 
 
-def capture(lines: DataFrame, patience: float = 60.0) -> DataFrame:
-    """A stream of transcript lines (session, line, value; lines count from 0) as numbered turns, in whatever order they come.
+def capture(lines: DataFrame, patience: float = 60.0, first: int = 0) -> DataFrame:
+    """A stream of transcript lines (session, line, value; lines count from ``first``) as numbered turns, in whatever order they come.
 
     A turn's number is its place among the session's turns in order of lines, so a line waits for those before it, turns or
     not. Lines that don't come within ``patience`` seconds are given up; should they come after all, they are numbered
@@ -143,7 +143,7 @@ def capture(lines: DataFrame, patience: float = 60.0) -> DataFrame:
     stateful(lines.sparkSession)
     rows = turns.marked(lines)
     kept = [F.when(F.col("is_turn"), F.col(c)).alias(c) for c in ("role", "timestamp", "content")]
-    return rows.select("session", "line", *kept, "is_turn").groupBy("session").transformWithStateInPandas(InTurn(int(1000 * patience)), TURN, "append", "processingTime")
+    return rows.select("session", "line", *kept, "is_turn").groupBy("session").transformWithStateInPandas(InTurn(int(1000 * patience), first), TURN, "append", "processingTime")
 
 
 def replay(rows: DataFrame, wave, change, waves: int = 3) -> DataFrame:

@@ -1,12 +1,16 @@
 """Batch runs in which one item may fail: consolidation, cascades, judgments."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from mossgrove import cli
 from mossgrove.functions import models
 from mossgrove.model import JUDGMENT, Params
 from mossgrove.operators import evaluate, graph
 from mossgrove.plans import pipelines
+from mossgrove.sources import files, sinks
 
 PAGES = [
     (1, "notes/a.md", "cats purr and cats sleep"), (2, "notes/b.md", "cats purr and cats sleep today"), (3, "notes/c.md", "rivers run to the sea"), (4, "notes/d.md", "rivers run to the wide sea"),
@@ -108,3 +112,36 @@ def test_guarded_keeps_types_and_nulls(spark):
     rows = spark.createDataFrame([(1, 2), (1, 0), (None, 3)], "a int, b int")
     got = rows.select(models.guarded(lambda a, b: float(a) / b, "double")(F.col("a").cast("double"), F.col("b")).alias("x")).select("x.*").collect()
     assert got[0].value == 0.5 and got[0].error is None and "ZeroDivisionError" in got[1].error and got[1].value is None
+
+
+def test_log_generations(spark, tmp_path):
+    """A log goes on in a new generation when the last is full or old; the oldest go only after a new one has rows."""
+    path = f"{tmp_path}/log"
+    rows = lambda k: spark.createDataFrame([(f"2024-01-0{k}", "search_query", k)], "timestamp string, event string, elapsed_ms bigint")
+    seen = lambda: sorted(r.elapsed_ms for r in files.read_metrics(spark, path).collect())
+    sinks.append_metrics(rows(1), path)
+    sinks.append_metrics(rows(2), path)
+    assert sinks.generations(spark, path) == [1]
+    for k in (3, 4, 5):
+        sinks.append_metrics(rows(k), path, most_bytes=1, keep=3)
+    assert sinks.generations(spark, path) == [1, 2, 3, 4] and seen() == [1, 2, 3, 4, 5]
+    assert sinks.rotate(spark, path, 1, 3).endswith("g00000005") and sinks.generations(spark, path) == [2, 3, 4]
+    assert sinks.rotate(spark, path, 1, 3).endswith("g00000005") and seen() == [3, 4, 5]  # it stopped before it wrote
+    import time
+
+    assert sinks.rotate(spark, path, most_age=60).endswith("g00000004")
+    assert sinks.rotate(spark, path, most_age=60, now=time.time() + 61).endswith("g00000005")
+
+
+def test_evaluation_on_the_command_line(spark, tree, tmp_path, capsys):
+    _, _, chunks = tree
+    full = chunks.selectExpr("id", "source", "heading", "1 AS heading_level", "content", "1 AS start_line", "1 AS end_line", "'' AS content_hash", "0 AS trunk_distance", "current_timestamp() AS indexed_at", "cast(embedding AS array<float>) AS embedding")
+    full.write.parquet(f"{tmp_path}/table")
+    case = lambda **c: json.dumps(c) + "\n"
+    (tmp_path / "cases.jsonl").write_text(case(qid="a", text="volcanoes erupt", k=2, expected=["notes/f.md"]) + case(qid="b", text="rivers run", expected=["nowhere.md"], unwanted=["notes/c.md"]))
+    args = ["eval", f"{tmp_path}/cases.jsonl", "--table", f"{tmp_path}/table", "--snapshot", f"{tmp_path}/snap"]
+    assert cli.main(args) == 1
+    first = capsys.readouterr().out
+    assert "1 of 2 passed" in first and "b: missed nowhere.md; unwanted notes/c.md" in first and "'mrr_change': None" in first
+    (tmp_path / "cases.jsonl").write_text(case(qid="a", text="volcanoes erupt", k=2, expected=["notes/f.md"]))
+    assert cli.main(args) == 0 and "'passed_change': 0.0" in capsys.readouterr().out
