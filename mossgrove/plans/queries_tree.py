@@ -102,16 +102,16 @@ _SENTENCE = chunking.SENTENCE
 
 @query(
     f"""WITH l AS (SELECT doc_id, unnest(string_split(x, {_NL})) AS line, generate_subscripts(string_split(x, {_NL}), 1) AS n FROM (SELECT doc_id, {_MARKDOWN} AS x FROM documents)),
-s AS (SELECT *, length(line) + 1 AS size, trim(line) = '' AS blank, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l),
-b AS (SELECT *, max(CASE WHEN regexp_matches(line, '^#{{1,6}}\s') THEN line END) OVER (PARTITION BY doc_id, section) AS head, sum(size) OVER (PARTITION BY doc_id, section ORDER BY n) - size AS before,
+s AS (SELECT *, length(line) + 1 AS size, trim(line) = '' AS blank, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l),
+b AS (SELECT *, max(CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN line END) OVER (PARTITION BY doc_id, section) AS head, sum(size) OVER (PARTITION BY doc_id, section ORDER BY n) - size AS before,
   NOT blank AND lag(blank, 1, true) OVER (PARTITION BY doc_id, section ORDER BY n) AS begins FROM s),
 p AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, section ORDER BY n) AS par FROM b),
 w AS (SELECT *, min(before) OVER (PARTITION BY doc_id, section, par) AS start, sum(size) OVER (PARTITION BY doc_id, section, par) <= 300 AS whole FROM p),
 q AS (SELECT *, CASE WHEN whole OR size <= 300 THEN [line] ELSE flatten(list_transform(regexp_extract_all(line, '{_SENTENCE}'), lambda t: list_transform(range(0, length(t), 300), lambda i: substr(t, i + 1, 300)))) END AS parts FROM w),
 e AS (SELECT doc_id, section, head, n, whole, before, start, len(parts) AS total, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM q),
 f AS (SELECT *, floor(CASE WHEN whole THEN start ELSE before + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, section, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END / 300) AS piece FROM e),
-g AS (SELECT doc_id, section, piece, head, min(n)::INT AS start_line, max(n)::INT AS end_line, regexp_replace(string_agg(concat(part, CASE WHEN k = total - 1 THEN {_NL} ELSE '' END), '' ORDER BY n, k), '\n$', '') AS content FROM f GROUP BY ALL)
-SELECT concat(doc_id, '.md') AS source, coalesce(trim(regexp_replace(head, '^#{{1,6}}\s+', '')), '') AS heading, start_line, end_line, length(content)::INT AS chars, sha256(content) AS content_hash FROM g WHERE regexp_matches(content, '\S')"""
+g AS (SELECT doc_id, section, piece, head, min(n)::INT AS start_line, max(n)::INT AS end_line, regexp_replace(string_agg(concat(part, CASE WHEN k = total - 1 THEN {_NL} ELSE '' END), '' ORDER BY n, k), '\\n$', '') AS content FROM f GROUP BY ALL)
+SELECT concat(doc_id, '.md') AS source, coalesce(trim(regexp_replace(head, '^#{{1,6}}\\s+', '')), '') AS heading, start_line, end_line, length(content)::INT AS chars, sha256(content) AS content_hash FROM g WHERE regexp_matches(content, '\\S')"""
 )
 def chunk_within_limit(spark, d):
     """Chunks of 600 characters at most: by paragraphs, lines, sentences and cuts."""

@@ -48,7 +48,7 @@ def test_upkeep_equals_a_rebuild(spark, tmp_path):
     path, tree = f"{tmp_path}/kw", {f"s{i}.md": some(f"s{i}.md", i) for i in range(30)}
     table = lambda rows: spark.createDataFrame(rows, SCHEMA)
     ki.update(spark, path, table([x for v in tree.values() for x in v]))
-    for step in range(5):
+    for step in range(4):
         random.seed(100 + step)
         changed = {f"s{i}.md": some(f"s{i}.md", 1000 * step + i) for i in random.sample(range(40), 3)}
         gone = random.sample(sorted(set(tree) - set(changed)), 2) + ["never.md"]
@@ -56,12 +56,12 @@ def test_upkeep_equals_a_rebuild(spark, tmp_path):
         ki.update(spark, path, table([x for v in changed.values() for x in v]), spark.createDataFrame([(g,) for g in gone], "source string"), most=99)
         assert before == {p: m for p, m in ((p, p.stat().st_mtime_ns) for p in before)}
         tree = {k: v for k, v in (tree | changed).items() if k not in gone}
-        if step == 3:
+        if step == 2:
             ki.merge(spark, path, 2)
             assert ki.segments(spark, path).count() == 2
         now = table([x for v in tree.values() for x in v])
         assert ki.corpus(spark, path) == pytest.approx(tuple(now.select(F.size(bm25.document_tokens(now)).alias("n")).agg(F.count("*"), F.avg("n")).first()))
-        for q in QUERIES if step in (2, 4) else QUERIES[:1]:
+        for q in QUERIES if step == 2 else QUERIES[:2]:
             assert scores(ki.search(spark, path, q)) == scores(bm25.bm25(now, q)), (step, q)
     ki.merge(spark, path)
     assert ki.segments(spark, path).count() == 1 and scores(ki.search(spark, path, "cat-dog tree")) == scores(bm25.bm25(now, "cat-dog tree"))
