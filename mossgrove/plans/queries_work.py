@@ -329,10 +329,15 @@ def stream_queue(spark, d):
     return keyed.replay(rows.repartition(3, "path").withColumn("wave", F.floor(3 * F.col("pos") / (last + 1))), F.col("wave"), keyed.enqueue)
 
 
-@query()
+@query(f"""WITH {_SCORED}, j AS (SELECT expected_verdict = actual_verdict AND (expected_verdict <> 'REVISE' OR contains(lower(actual_direction), 'date')) AS p FROM (SELECT {_VERDICT} FROM labels JOIN documents USING (doc_id)))
+SELECT count(*) AS cases, count(*) FILTER (passed) AS passed, round(avg(rr), 6) AS mrr, round(sum(len(hits))::DOUBLE / sum(len(expected)), 6) AS recall_at_k,
+  (SELECT count(*) FROM j) AS judged, (SELECT round(avg(p::INT), 6) FROM j) AS accuracy FROM r""")
 def eval_report(spark, d):
-    """The evaluation as one JSON text."""
-    return evaluate.report(search=evaluate.search_metrics(evaluate.search_cases(search_cases(spark, d))), judge=evaluate.judge_metrics(evaluate.judge_cases(judge_cases(spark, d))))
+    """The evaluation as one JSON text, and what is in it."""
+    text = evaluate.report(search=evaluate.search_metrics(evaluate.search_cases(search_cases(spark, d))), judge=evaluate.judge_metrics(evaluate.judge_cases(judge_cases(spark, d))))
+    kind = "struct<search:struct<total:bigint,passed:bigint,mrr:double,recall_at_k:double>,judge:struct<total:bigint,accuracy:double>>"
+    r = text.select(F.from_json("report", kind).alias("r")).select("r.*")
+    return r.select(F.col("search.total").alias("cases"), "search.passed", F.round("search.mrr", 6).alias("mrr"), F.round("search.recall_at_k", 6).alias("recall_at_k"), F.col("judge.total").alias("judged"), F.round("judge.accuracy", 6).alias("accuracy"))
 
 
 __all__ = ["ACTIONS", "Window"]
