@@ -196,7 +196,8 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
 
     Rows whose vector is null or has a null or non-finite component are left out. A component is floor(scale * x), kept
     within 2^26; shorter vectors are filled up with zeros. Codebooks start with the vectors of the least ids (null ids
-    last, equal ids by their components); with fewer rows they are smaller. Repeated rows count each for itself.
+    last, equal ids by their components); with fewer rows they are smaller. Repeated rows count each for itself. An empty table
+    gives no rows; other columns are ignored.
     """
     prepare(rows.sparkSession)
     now, width = whole(rows, scale, parts)

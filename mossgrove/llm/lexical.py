@@ -211,7 +211,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, window: int = WIND
     """item_id, rank, doc_id and score of the ``top`` best of ``docs`` (doc_id, text) for each row of ``items`` (item_id, text).
 
     Scores are above 0; equal ones go by doc_id, a null one last. Repeated rows of either side count each for itself, also
-    with a null id. Null, empty or wordless texts match nothing; empty tables give no rows. Other columns are ignored.
+    with a null id. Null, empty or wordless texts match nothing, very long ones count whole; empty tables give no rows. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     found = [_searched(docs, block, top, window) for block in _blocks(items)]

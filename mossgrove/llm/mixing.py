@@ -96,7 +96,7 @@ def _last(at: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, copies.
 
-    ``copies`` is how often the mix takes the document and ``taken`` its words times that. The document at
+    Texts of any length count whole. ``copies`` is how often the mix takes the document and ``taken`` its words times that. The document at
     which the budget ends is taken if that comes nearer to it. Null texts have size 0; a null source is a source;
     rows with a null or repeated id share a key, and ties go by id and size. An empty table gives no rows.
     """

@@ -314,7 +314,8 @@ def nearest(rows: DataFrame, every: int = 50, most: int = NEAREST, id_: str = "v
 
     Nearness is the cosine in double precision of the original vectors; ties go to the smaller id. Vectors that are
     null, zero (or without components), or that hold null or non-finite components, take no part, as do rows
-    with a null id. Of vectors of different lengths the shorter counts as filled up with zeros. A repeated id counts once for each distinct vector it has. With fewer other vectors a query has fewer rows.
+    with a null id. Of vectors of different lengths the shorter counts as filled up with zeros. A repeated id counts once for each distinct vector it has. With fewer other vectors a query has fewer rows;
+    an empty table gives none, and other columns are ignored.
     """
     prepare(rows.sparkSession)
     good = valid(rows, id_, vector).distinct()

@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """Packs every document of ``docs`` (doc_id, text; other columns are ignored) into sequences.
 
     A document is its token ids and the end id. Only documents over ``capacity`` are cut. A null or empty
-    text is the end id alone; null ids and repeated rows are packed like any other; an empty table gives no
-    rows. Equal lengths are ranked by doc_id, piece and checksum; rows equal in all of these are alike.
+    text is the end id alone; a very long one is as many pieces as it needs; null ids and repeated rows are packed like any
+    other; an empty table gives no rows. Equal lengths are ranked by doc_id, piece and checksum; rows equal in all of these are alike.
     """
     return best_fit(store(pieces(docs, tokenizer, capacity), "pieces"), capacity)

@@ -207,7 +207,8 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of ``docs`` (doc_id, text).
 
     The counts and the digest are of the base spans. A null text is empty and has no spans. Null and repeated
-    ids are scanned row by row; other columns are ignored; an empty table gives no rows.
+    ids are scanned row by row; very long texts are scanned whole, in time in proportion; other columns are ignored; an empty
+    table gives no rows.
     """
 
     def make():

@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
 def classify(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs`` (doc_id, text).
 
-    The statistics are of the whole text and of nothing else. Null and empty texts are scored by their zeros.
+    The statistics are of the whole text, however long, and of nothing else. Null and empty texts are scored by their zeros.
     Without a labelled row to learn from every score is 1 (nothing speaks against a document). A null id is never
     held out; repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
     """

@@ -117,7 +117,8 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS)
 
     ``kept`` is false if a base rule fails (under 10 words, or over a fifth of them in repeated windows), else
     whether the score reaches ``threshold``. A null or empty text has no words and fails the base rules, with score
-    0. Null and repeated ids are judged row by row; other columns are ignored; an empty table gives no rows.
+    0. Null and repeated ids are judged row by row; very long texts count whole; other columns are ignored; an empty table gives
+    no rows.
     """
     text, words, model = F.col("_text"), F.col("_words"), F.col("_model")
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))

@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
     Two texts are linked if their fingerprints differ in ``radius`` bits or fewer; component_id is the least
     doc_id that links reach, the row's own included. Null, empty and blank texts have fingerprint zero and are
-    linked like any other. A null doc_id is kept and never is a component's id (null only if its component has no
+    linked like any other; very long ones are hashed whole. A null doc_id is kept and never is a component's id (null only if its component has no
     other). Repeated rows stay. An empty table gives no rows. Columns other than doc_id and text are ignored.
     """
     rows = store(fingerprints(docs, shingle), "fingerprints")

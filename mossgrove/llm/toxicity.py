@@ -240,7 +240,7 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
 def classify(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted and spans (start:end, comma-joined) of each row of ``docs`` (doc_id, text).
 
-    The field learns from at most ``most`` labelled rows that aren't held out; scores are of whole texts. A null or
+    The field learns from at most ``most`` labelled rows that aren't held out; scores are of whole texts, however long. A null or
     empty text has no words and scores 0; without labelled toxic rows every score is near 0. A null id is never held
     out; repeated rows are scored alike; an empty table gives no rows.
     """

@@ -61,7 +61,8 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str = "1970-01-
 
     The payload is the html in UTF-8 (null: empty) after an HTTP head. Of the rows with equal payloads of ``least`` bytes
     or more, the one with the least page_id is a response and the others are revisits of it; rows that repeat that
-    page_id are responses too, and without any id there all are. Null ids are kept; line ends in a url are escaped.
+    page_id are responses too, and without any id there all are. Null ids are kept; line ends in a url are escaped. Very long
+    payloads are stored whole; an empty table makes an archive without records; other columns are ignored.
     """
     rows = _rows(pages)
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mossgrove.llm import linktrust, pii, rules, secrets
+from mossgrove.llm import linktrust, mixing, pii, rules, secrets
 from mossgrove.llm.spans import beyond, digest, free, outside
 
 
@@ -284,6 +284,30 @@ def test_rules_use_no_python(odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_uses_no_python(odd):
+    for df in (mixing.mix(odd), mixing.repeat(odd)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_links_of_odd_pages(spark):
+    """Nulls in any column, very long urls and html, repeated rows, clashing columns and an empty table."""
+    schema = "page_id bigint, url string, html string, host string, `path` string, verdict string, kind string, seed double"
+    extra = ("h", "p", "v", "k", 1.0)
+    bad = '<a href="http://bad.example.com/en/x">x</a>'
+    rows = [(1, "http://bad.example.com/en/" + "a" * 100_000, "x" * 500_000, *extra), (2, "http://www.good.com/" + "b/" * 50_000, bad * 20_000, *extra), (3, None, bad, *extra), (None, "http://net.net/es/", None, *extra)]
+    rows += [(4, "http://far.org/", "y" * 300_000 + bad, *extra), (4, "http://far.org/", "y" * 300_000 + bad, *extra), (5, "no scheme", "", *extra), (6, "", None, *extra)]
+    df = spark.createDataFrame(rows, schema)
+    got = linktrust.judge(df).collect()
+    assert len(got) == len(rows)
+    by = {(r.page_id, r.host): (r.rule, r.verdict, len(r["path"])) for r in got}
+    assert by[1, "bad.example.com"] == ("example.com/en/", "block", 100_004) and by[2, "www.good.com"] == ("com/", "allow", 100_001)
+    assert by[None, "net.net"] == ("net/es/", "block", 4)
+    assert by[4, "far.org"] == (None, "block", 1)  # it links to what is blocked
+    assert by[3, ""] == by[5, ""] == by[6, ""] == (None, "allow", 0)
+    assert linktrust.judge(df.limit(0)).collect() == []
+
+
 def test_rules_on_a_megabyte_in_a_line(spark):
     """Texts of 1 MB without white space, of one-letter words and of one word over and over take seconds."""
     texts = ["xY1" * 350_000, " ".join("abcdefghij"[(i * i) % 7 + i % 3] for i in range(500_000)), "word " * 200_000, "%" * 1_000_000, "\n" * 1_000_000]
