@@ -311,7 +311,7 @@ def summary_levels(spark, d):
 @query(f"""SELECT concat('notes/', strftime(ts, '%Y/%m-%d'), '.md') AS path, string_agg(concat('---', {_NL}, 'date: ', {_DAY}, {_NL}, 'time: ', strftime(ts, '%H:%M:%S'), ' UTC', {_NL}, 'branch: notes', CASE WHEN event_id % 2 = 0 THEN concat({_NL}, 'source: ', event_type) ELSE '' END, {_NL}, '---', {_NL}, {_NL}, '# ',
   CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) ELSE concat('Entry ', strftime(ts, '%Y-%m-%d %H:%M')) END, {_NL}, trim(props), {_NL}), concat({_NL}, '---', {_NL}, {_NL}) ORDER BY ts, event_id) AS content FROM events GROUP BY 1""")
 def entry_files(spark, d):
-    rows = table(spark, d, "events").selectExpr("'notes' AS branch", "ts", "CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) END AS title", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS source_hint", "props AS content")
+    rows = table(spark, d, "events").selectExpr("'notes' AS branch", "ts", "event_id AS pos", "CASE WHEN event_id % 3 = 0 THEN concat('T', event_id) END AS title", "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS source_hint", "props AS content")
     return sinks.day_files(sinks.entries(rows))
 
 

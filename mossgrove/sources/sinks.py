@@ -12,16 +12,19 @@ from mossgrove.functions.text import front_matter
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """path and block of entries (branch, ts, title, source_hint, content): front matter, a heading and the text."""
+    """path and block of entries (branch, ts, title, source_hint, content): front matter, a heading and the text.
+
+    ``pos``, if there, is the order of entries of one time, and is kept.
+    """
     head = front_matter(date=F.date_format("ts", "yyyy-MM-dd"), time=F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(" UTC")), branch=F.col("branch"), source=F.nullif(F.col("source_hint"), F.lit("")))
     title = F.coalesce("title", F.concat(F.lit("Entry "), F.date_format("ts", "yyyy-MM-dd HH:mm")))
     block = F.concat(head, F.lit("\n\n# "), title, F.lit("\n"), F.trim("content"), F.lit("\n"))
-    return rows.select(entry_path(F.col("branch"), F.col("ts")).alias("path"), "ts", block.alias("block"))
+    return rows.select(entry_path(F.col("branch"), F.col("ts")).alias("path"), "ts", *(c for c in rows.columns if c == "pos"), block.alias("block"))
 
 
 def day_files(blocks: DataFrame) -> DataFrame:
-    """path and content: the blocks of each path in order of time, parted by rules."""
-    x = F.sort_array(F.collect_list(F.struct("ts", "block")))
+    """path and content: the blocks of each path in order of time, and of ``pos`` if there, parted by rules."""
+    x = F.sort_array(F.collect_list(F.struct("ts", *(c for c in blocks.columns if c == "pos"), "block")))
     return blocks.groupBy("path").agg(F.array_join(F.transform(x, lambda e: e["block"]), "\n---\n\n").alias("content"))
 
 

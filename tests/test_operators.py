@@ -242,6 +242,12 @@ def test_entries_and_sleep(spark):
     assert {r.path: r.status for r in out.collect()} == {"a": "done", "b": "failed"}
 
 
+def test_entries_of_one_time_keep_their_order(spark):
+    rows = spark.createDataFrame([("notes", k, t, "", "x") for k, t in ((2, "A"), (1, "Z"), (3, None))], "branch string, pos bigint, title string, source_hint string, content string").withColumn("ts", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    text = sinks.day_files(sinks.entries(rows)).first().content
+    assert text.index("# Z") < text.index("# A") < text.index("# Entry")
+
+
 def test_evaluation(spark):
     c = evaluate.search_cases(spark.createDataFrame([(["b", "a"], ["z"], ["x/a", "x/b"])], "expected array<string>, unwanted array<string>, sources array<string>"))
     assert (c.first().rr, c.first().passed) == (0.5, True)
