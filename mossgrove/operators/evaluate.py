@@ -68,12 +68,13 @@ def search_cases(cases: DataFrame) -> DataFrame:
     return out.withColumn("passed", (F.size("misses") == 0) & (F.size("false_positives") == 0))
 
 
-def run_search(chunks: DataFrame, cases: DataFrame, params: Params = Params()) -> DataFrame:
+def run_search(chunks: DataFrame, cases: DataFrame, params: Params = Params(), vectors: DataFrame | None = None) -> DataFrame:
     """search_cases() of what hybrid search gives the cases (qid, text, vector, k, expected, unwanted), all in one pass.
 
     ``k`` is how many hits count for a case, up to ``params.top_k``; a case that finds nothing has no sources.
+    ``vectors`` is that of many.hybrid_search().
     """
-    hits = many.hybrid_search(chunks, cases, params).select("qid", F.struct("rank", "source").alias("hit"))
+    hits = many.hybrid_search(chunks, cases, params, vectors).select("qid", F.struct("rank", "source").alias("hit"))
     hits = hits.groupBy("qid").agg(F.sort_array(F.collect_list("hit")).alias("hits_"))
     got = F.transform(F.filter("hits_", lambda h: h["rank"] <= F.col("k")), lambda h: h["source"])
     rows = cases.select("qid", "k", "expected", "unwanted").join(hits, "qid", "left")
