@@ -129,3 +129,13 @@ def test_a_leg_that_fails_leaves_the_other(spark):
     with pytest.raises(Exception):
         hybrid.hybrid_search(broken, [1.0, 0.0], "cat").collect()
     assert [r.id for r in hybrid.hybrid_search(broken, [1.0, 0.0], "cat", tolerant=True).collect()] == ["1"]
+
+
+def test_a_block_has_a_row_a_term(spark):
+    """What is shuffled to build a segment is a row for each term of a block of chunks, not one for each term of each chunk."""
+    rows = [x for i in range(60) for x in some(f"s{i}", i)] + [("e", "", "", ""), ("n", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    made = ki.blocks(df)
+    assert made.groupBy("term").count().where("count > 2").count() == 0
+    assert ki._each(made, "term").exceptAll(bm25.postings(df).selectExpr("term", "id", "cast(tf as int)", "positions")).count() == 0
+    assert ki._each(made, "term").count() == bm25.postings(df).count()
